@@ -16,8 +16,8 @@ def _view(name: str, needs: list[str], sql: str) -> None:
 
 _view("det", ["orders"], """
 SELECT t.*, cx - w / 2.0 AS x1, cy - h / 2.0 AS y1, cx + w / 2.0 AS x2, cy + h / 2.0 AS y2,
-  CASE WHEN cls <> 'coordinate' AND coord_text IS NOT NULL THEN cx + CAST((r * 3) % 241 AS DOUBLE) - 120.0 END AS lx,
-  CASE WHEN cls <> 'coordinate' AND coord_text IS NOT NULL THEN cy + CAST((r * 5) % 181 AS DOUBLE) - 60.0 END AS ly,
+  CASE WHEN (r + ck) % 13 < 10 AND r % 11 <> 0 THEN cx + CAST((r * 3) % 241 AS DOUBLE) - 120.0 END AS lx,
+  CASE WHEN (r + ck) % 13 < 10 AND r % 11 <> 0 THEN cy + CAST((r * 5) % 181 AS DOUBLE) - 60.0 END AS ly,
   CASE WHEN cls = 'haltepunkt' THEN concat('haltepunkt ', CAST(r % 9 AS STRING), ' (', trim(anchor_text), ')') ELSE anchor_text END AS name_text,
   CASE WHEN fahrtrichtung IS NULL THEN 'none' WHEN r % 5 = 0 THEN 'gks' WHEN r % 5 = 1 THEN 'track' WHEN r % 5 = 2 THEN 'gks_relaxed' ELSE 'gks_nearest' END AS direction_source
 FROM (
@@ -150,6 +150,7 @@ def oracle(sql: str, *views: str) -> str:
     body = sql.strip()
     if not ctes:
         return body
-    if body[:5].upper() == "WITH ":
-        return f"WITH {ctes},\n{body[5:]}"
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(head):
+            return f"{head}{ctes},\n{body[len(head):]}"
     return f"WITH {ctes}\n{body}"
