@@ -72,21 +72,23 @@ def claims(candidates: DataFrame, target: list[str], anchor: list[str], rank: li
     Every round each anchor proposes to its best target; a target holds the earliest proposer and
     crosses itself off the lists of all later anchors. The lists only shrink, so this ends.
     """
-    liking = F.struct(*rank, *target)
-    turn = F.struct(*order, *anchor)
-    c = cut(candidates.select(*dict.fromkeys([*target, *anchor, *rank, *order])))
+    own = [t for t in target if t not in anchor]
+    extra = [o for o in order if o not in anchor]
+    who = [*anchor, *extra]
+    liking = F.struct(*rank, *own)
+    turn = F.struct(*order, *[a for a in anchor if a not in order])
+    c = cut(candidates.select(*dict.fromkeys([*who, *own, *rank])))
     while True:
-        top = c.groupBy(*anchor, *order).agg(F.min(liking).alias("_m"))
-        asked = top.select(*anchor, *order, *[F.col(f"_m.{t}").alias(t) for t in target])
+        top = c.groupBy(*who).agg(F.min(liking).alias("_m"))
+        asked = top.select(*who, *[F.col(f"_m.{t}").alias(t) for t in own])
         held = asked.groupBy(*target).agg(F.min(turn).alias("_held"), F.count(F.lit(1)).alias("_n"))
         if held.filter(F.col("_n") > 1).isEmpty():
-            break
+            return asked
         c = cut(
             c.join(held.select(*target, "_held"), target, "left")
             .filter(F.col("_held").isNull() | (turn <= F.col("_held")))
             .drop("_held")
         )
-    return asked
 
 
 def components(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFrame:

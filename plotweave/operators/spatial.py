@@ -111,3 +111,17 @@ def without_near(new: DataFrame, old: DataFrame, radius: float, on: list[str], s
 def pair_filter(fn: Callable[[G.Box, G.Box], Column], limit: float, strict: bool = False) -> Column:
     v = fn(G.box("a_"), G.box("b_"))
     return v > limit if strict else v >= limit
+
+
+def reach_pairs(a: DataFrame, b: DataFrame, a_reach: G.Box, b_reach: G.Box, on: list[str] = KEYS, size: float = 256.0) -> DataFrame:
+    """Pairs (``a_*``, ``b_*``) whose reach boxes touch; each pair once, in the cell of the common corner."""
+    r = ["r1", "r2", "r3", "r4"]
+
+    def side(d: DataFrame, reach: G.Box, p: str) -> DataFrame:
+        d = prefixed(d.withColumns(dict(zip(r, reach))), p, on)
+        return span_cells(d, tuple(F.col(p + c) for c in r), size)
+
+    corner = (F.col("_gx") == _cell(F.greatest("a_r1", "b_r1"), size)) & (F.col("_gy") == _cell(F.greatest("a_r2", "b_r2"), size))
+    touch = (F.col("a_r1") <= F.col("b_r3")) & (F.col("b_r1") <= F.col("a_r3")) & (F.col("a_r2") <= F.col("b_r4")) & (F.col("b_r2") <= F.col("a_r4"))
+    return side(a, a_reach, "a_").join(side(b, b_reach, "b_"), [*on, "_gx", "_gy"]).filter(corner & touch).drop(
+        "_gx", "_gy", *[p + c for p in ("a_", "b_") for c in r])

@@ -15,6 +15,7 @@ from plotweave.functions import text as T
 from plotweave.operators import checks, iterative, ordered
 from plotweave.operators.filters import visible
 from plotweave.operators.spatial import BOX, KEYS, box_groups, near_pairs, nearest, nearest_any, overlapping, places
+from plotweave.session import cut
 
 C = F.col
 
@@ -104,13 +105,13 @@ def overlap_clusters(df: DataFrame, same_class: float = 0.05, other_class: float
     g = box_groups(df, ["cls"]).filter((C("x2") > C("x1")) & (C("y2") > C("y1")))
     limit = F.when(C("a_cls") == C("b_cls"), same_class).otherwise(other_class)
     rate = G.iou(G.box("a_"), G.box("b_"))
-    edges = overlapping(g, g, where=(C("a_row_id") < C("b_row_id")) & (rate >= limit)).select(
-        "layout_id", C("a_row_id").alias("src"), C("b_row_id").alias("dst"), rate.alias("iou"), (C("a_n") * C("b_n")).alias("pairs"), C("a_n").alias("an"), C("b_n").alias("bn"))
+    edges = cut(overlapping(g, g, where=(C("a_row_id") < C("b_row_id")) & (rate >= limit)).select(
+        "layout_id", C("a_row_id").alias("src"), C("b_row_id").alias("dst"), rate.alias("iou"), (C("a_n") * C("b_n")).alias("pairs"), C("a_n").alias("an"), C("b_n").alias("bn")))
     ends = edges.select("layout_id", C("src").alias("row_id"), C("bn").alias("k")).unionAll(edges.select("layout_id", C("dst"), C("an")))
     ends = ends.groupBy("layout_id", "row_id").agg(F.sum("k").alias("k"))
     multi = g.join(ends, ["layout_id", "row_id"], "left").withColumn("degree", F.coalesce("k", F.lit(0)) + C("n") - 1).filter(C("degree") >= 2)
     enough = multi.groupBy("layout_id").agg(F.sum("n").alias("t")).filter(C("t") >= 3).select("layout_id")
-    multi = multi.join(enough, "layout_id", "left_semi").select("layout_id", "row_id", "cls", "n")
+    multi = cut(multi.join(enough, "layout_id", "left_semi").select("layout_id", "row_id", "cls", "n"))
     node = F.struct("layout_id", "row_id")
     ids = multi.select("layout_id", "row_id")
     inner = (
