@@ -213,14 +213,13 @@ def j30(t):
     return O.propagate_coordinates(t.det, c).select(*ID, "coord_text", "coord_value")
 
 
-LINKS = "ln AS (SELECT a.layout_id, a.row_id, min(c.row_id) AS coord_row FROM det a JOIN det c ON a.layout_id = c.layout_id AND a.page = c.page AND a.cls = 'signal' AND c.cls = 'coordinate' AND c.row_id > a.row_id GROUP BY ALL)"
+LINKS = "ln AS (SELECT a.layout_id, a.row_id, min(c.row_id) AS coord_row FROM det a JOIN det c ON a.layout_id = c.layout_id AND a.page = c.page AND a.r % 7 = c.r % 7 AND a.cls = 'signal' AND c.cls = 'coordinate' GROUP BY ALL)"
 
 
 def links(t):
-    a = t.det.filter(C("cls") == "signal").select("layout_id", "page", C("row_id").alias("row_id"))
-    c = t.det.filter(C("cls") == "coordinate").select("layout_id", "page", C("row_id").alias("coord_row"))
-    j = a.join(c, ["layout_id", "page"]).filter(C("coord_row") > C("row_id"))
-    return j.groupBy(*ID).agg(F.min("coord_row").alias("coord_row"))
+    key = ["layout_id", "page", "k"]
+    c = t.det.filter(C("cls") == "coordinate").groupBy("layout_id", "page", (C("r") % 7).alias("k")).agg(F.min("row_id").alias("coord_row"))
+    return t.det.filter(C("cls") == "signal").withColumn("k", C("r") % 7).join(c, key).select(*ID, "coord_row")
 
 
 @query("j31_apply_links", sql=f"WITH {LINKS} SELECT d.layout_id, d.row_id, CASE WHEN c.row_id IS NOT NULL THEN c.coord_text ELSE d.coord_text END AS coord_text, CASE WHEN c.row_id IS NOT NULL THEN c.coord_value ELSE d.coord_value END AS coord_value, CASE WHEN c.row_id IS NOT NULL THEN c.gi_gl ELSE d.gi_gl END AS gi_gl, c.row_id AS link_coord_row_id FROM det d LEFT JOIN ln ON d.layout_id = ln.layout_id AND d.row_id = ln.row_id LEFT JOIN det c ON c.layout_id = ln.layout_id AND c.row_id = ln.coord_row AND coalesce(c.coord_text, '') <> ''")
