@@ -47,17 +47,17 @@ def _steps(cls: Column, dy: Column, base: Column) -> Column:
 def link_candidates(anchors: DataFrame, coords: DataFrame) -> DataFrame:
     """All coordinates an anchor may take, with its liking ``tier, s1, s2, s3`` (smaller is better)."""
     a = raw_angle(anchors).select(*KEYS, "row_id", "cls", "angle", "angle_raw", *SHAPE).filter(C("cls") != "coordinate")
-    b = coords.select(*KEYS, "row_id", *SHAPE)
-    most = max([max(r.get("steps", [1.0])) for r in R.LINK.values()] + [1.0])
-    wide = max(r.get("dx", 1.0) for r in R.LINK.values()) * 0.6 * 1.3
-    up, across = 1.6 * most * C("h"), F.greatest(F.lit(39.0), wide * C("w"))
-    ra = F.sqrt(up * up + across * across)
-    rb = wide * C("w")
-
-    def square(r: Column) -> G.Box:
-        return C("cx") - r, C("cy") - r, C("cx") + r, C("cy") + r
-
-    p = reach_pairs(a, b, square(ra), square(rb))
+    # how far a class looks: a few sizes, each with its own copy of the coordinates' reach
+    far = {c: 0.6 * r.get("dx", 1.0) * (1.3 if r.get("left") else 1.0) for c, r in R.LINK.items()}
+    a = a.withColumn("far", R.lookup(C("cls"), far, 0.6))
+    b = coords.select(*KEYS, "row_id", *SHAPE, F.explode(F.array(*[F.lit(v) for v in sorted({0.6, *far.values()})])).alias("far"))
+    up = 1.6 * C("h") * R.lookup(C("cls"), {c: max(r["steps"]) for c, r in R.LINK.items() if "steps" in r}, 1.0)
+    across = F.greatest(F.lit(39.0), C("far") * C("w"))
+    round_ = F.sqrt(up * up + across * across)
+    turned = G.tilted(C("angle"))
+    rx, ry = F.when(turned, round_).otherwise(across), F.when(turned, round_).otherwise(up)
+    rb = C("far") * C("w")
+    p = reach_pairs(a, b, (C("cx") - rx, C("cy") - ry, C("cx") + rx, C("cy") + ry), (C("cx") - rb, C("cy") - rb, C("cx") + rb, C("cy") + rb), on=[*KEYS, "far"])
     cls = C("a_cls")
     turned = G.tilted(C("a_angle"))
     gx, gy = C("b_cx") - C("a_cx"), C("b_cy") - C("a_cy")

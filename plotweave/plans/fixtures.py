@@ -123,10 +123,23 @@ FROM events
 """)
 
 
+# column to spread a table on that comes in fewer splits than there are cores
+SPREAD = {"orders": "o_orderkey", "events": "event_id", "lineitem": "l_orderkey"}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table. One small file is one task for everything up to the first shuffle, so it is spread."""
+    d = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in SPREAD and d.rdd.getNumPartitions() < cores:
+        d = d.repartition(cores, SPREAD[name])
+    return d
+
+
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view as a DataFrame; tables are read where they are needed."""
     if name not in VIEWS:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return table(spark, sf_dir, name)
     needs, sql = VIEWS[name]
     frames = {n: frame(spark, sf_dir, n) for n in needs}
     for n in needs:
