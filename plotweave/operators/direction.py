@@ -99,12 +99,17 @@ def direction_track(signals: DataFrame, pixels: DataFrame, bounds: DataFrame, sh
         )
 
     d = d.select(*key, "sx", "sy", "angular", "width", "height", F.explode(F.array(ray("above", 1.0, up), ray("below", -1.0, down))).alias("r")).filter(C("r.len") >= 1)
-    half = cell // 2
-    d = d.withColumn("_s", F.explode(F.sequence(F.lit(0), F.floor(C("r.len") / half).cast("int") + 1)))
-    at_x = F.floor((C("sx") + C("_s") * half * C("r.ux")) / cell).cast("long")
-    at_y = F.floor((C("sy") + C("_s") * half * C("r.uy")) / cell).cast("long")
-    d = d.withColumns({"_gx": F.explode(F.sequence(at_x - 1, at_x + 1))}).withColumn("_gy", F.explode(F.sequence(at_y - 1, at_y + 1)))
-    d = d.drop("_s").distinct()
+    # upright rays run inside one or two columns of cells; tilted ones are followed cell by cell
+    upright = d.filter(~C("angular"))
+    end = C("sy") + C("r.uy") * C("r.len")
+    lo_y, hi_y = F.least(C("sy").cast("double"), end) - window - 1, F.greatest(C("sy").cast("double"), end) + window + 1
+    upright = upright.withColumn("_gx", F.explode(F.sequence(F.floor((C("sx") - window) / cell), F.floor((C("sx") + window) / cell)))).withColumn(
+        "_gy", F.explode(F.sequence(F.floor(lo_y / cell), F.floor(hi_y / cell))))
+    tilted = d.filter("angular").withColumn("_s", F.explode(F.sequence(F.lit(0), F.floor(C("r.len") / cell).cast("int") + 1)))
+    at_x = F.floor((C("sx") + C("_s") * cell * C("r.ux")) / cell)
+    at_y = F.floor((C("sy") + C("_s") * cell * C("r.uy")) / cell)
+    tilted = tilted.withColumn("_gx", F.explode(F.sequence(at_x - 1, at_x + 1))).withColumn("_gy", F.explode(F.sequence(at_y - 1, at_y + 1)))
+    d = upright.unionByName(tilted.drop("_s").distinct())
     p = pixels.select(*KEYS, C("x").alias("px"), C("y").alias("py"), F.floor(C("x") / cell).alias("_gx"), F.floor(C("y") / cell).alias("_gy"))
     j = d.join(p, [*KEYS, "_gx", "_gy"])
 

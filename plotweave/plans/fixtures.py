@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plotweave.session import scratch
+
 VIEWS: dict[str, tuple[list[str], str]] = {}
 
 
@@ -136,15 +138,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return d
 
 
+# views that stand for stored tables: written once per session, read like any other table
+STORED = ("det", "det2", "px")
+_written: dict[tuple[str, str, str], str] = {}
+
+
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view as a DataFrame; tables are read where they are needed."""
     if name not in VIEWS:
         return table(spark, sf_dir, name)
-    needs, sql = VIEWS[name]
-    frames = {n: frame(spark, sf_dir, n) for n in needs}
-    for n in needs:
-        sql = sql.replace(f"FROM {n}", "FROM {" + n + "}")
-    return spark.sql(sql, **frames)
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _written:
+        needs, sql = VIEWS[name]
+        frames = {n: frame(spark, sf_dir, n) for n in needs}
+        for n in needs:
+            sql = sql.replace(f"FROM {n}", "FROM {" + n + "}")
+        view = spark.sql(sql, **frames)
+        if name not in STORED:
+            return view
+        path = scratch(spark, name)
+        view.write.parquet(path)
+        _written[key] = path
+    return spark.read.parquet(_written[key])
 
 
 def oracle(sql: str, *views: str) -> str:
