@@ -62,12 +62,12 @@ NORM = f"((({DEG} % 360) + 360) % 360)"
 
 
 @query("g4_angle_class", sql=f"""
-SELECT layout_id, row_id, n AS turn, least(n % 90, 90 - n % 90) AS off_axis,
+SELECT layout_id, row_id, n + 0.0 AS turn, least(n % 90, 90 - n % 90) + 0.0 AS off_axis,
   CASE WHEN least(n, 360 - n) <= 12 OR abs(n - 180) <= 12 THEN 'horizontal' WHEN abs(n - 90) <= 12 OR abs(n - 270) <= 12 THEN 'vertical' ELSE 'angular' END AS kind
 FROM (SELECT *, {NORM} AS n FROM det)""")
 def g4(t):
     deg = (C("r") % 1440).cast("double") - 720
-    return t.det.select(*ID, G.full_turn(deg).alias("turn"), G.to_cardinal(deg).alias("off_axis"), G.angle_class(deg).alias("kind"))
+    return t.det.select(*ID, (G.full_turn(deg) + 0.0).alias("turn"), (G.to_cardinal(deg) + 0.0).alias("off_axis"), G.angle_class(deg).alias("kind"))
 
 
 @query("g5_local_offset", sql="""
@@ -98,14 +98,14 @@ def g6(t):
 
 @query("g7_quadrant", sql=f"""
 SELECT layout_id, row_id, CAST(q AS INT) AS quadrant,
-  CASE WHEN n < 5 OR n > 355 OR (n > 85 AND n < 95) OR (n > 265 AND n < 275) THEN w WHEN n > 175 AND n < 185 THEN -w ELSE round(w * cos(radians(-d)) - h * sin(radians(-d)), 6) END AS dx,
-  CASE WHEN n < 5 OR n > 355 OR (n > 175 AND n < 185) OR (n > 265 AND n < 275) THEN h WHEN n > 85 AND n < 95 THEN -h ELSE round(w * sin(radians(-d)) + h * cos(radians(-d)), 6) END AS dy,
+  CASE WHEN n < 5 OR n > 355 OR (n > 85 AND n < 95) OR (n > 265 AND n < 275) THEN w WHEN n > 175 AND n < 185 THEN -w ELSE round(w * cos(radians(-d)) - h * sin(radians(-d)), 6) END + 0.0 AS dx,
+  CASE WHEN n < 5 OR n > 355 OR (n > 175 AND n < 185) OR (n > 265 AND n < 275) THEN h WHEN n > 85 AND n < 95 THEN -h ELSE round(w * sin(radians(-d)) + h * cos(radians(-d)), 6) END + 0.0 AS dy,
   CASE WHEN (n > 85 AND n < 95) OR (n > 265 AND n < 275) OR (NOT (n < 5 OR n > 355 OR (n > 175 AND n < 185)) AND q IN (90, 270)) THEN 40.0 ELSE 90.0 END AS region_w
 FROM (SELECT *, floor(((n + 45) % 360) / 90) * 90 AS q FROM (SELECT *, {DEG} AS d, {NORM} AS n FROM det))""")
 def g7(t):
     deg = (C("r") % 1440).cast("double") - 720
     dx, dy, w, _ = G.turn_offset(C("w"), C("h"), F.lit(90.0), F.lit(40.0), deg)
-    return t.det.select(*ID, G.quadrant(deg).alias("quadrant"), F.round(dx, 6).alias("dx"), F.round(dy, 6).alias("dy"), w.alias("region_w"))
+    return t.det.select(*ID, G.quadrant(deg).alias("quadrant"), (F.round(dx, 6) + 0.0).alias("dx"), (F.round(dy, 6) + 0.0).alias("dy"), w.alias("region_w"))
 
 
 @query("g7_clamp_region", "det sheets", sql="""

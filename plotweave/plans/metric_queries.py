@@ -23,7 +23,8 @@ def issues(t):
 
 
 def rounded(df, *cols):
-    return df.withColumns({c: F.round(c, 6) for c in cols})
+    # means can end exactly on half a unit; the small shift makes both engines round the same way
+    return df.withColumns({c: F.round(C(c) + 1e-9, 6) for c in cols})
 
 
 @query("a1_class_counts", sql="SELECT layout_id, cls, count(*) AS n, count(*) FILTER (cls IN ('haltetafel', 'weichenende')) AS custom, count(*) FILTER (cls NOT IN ('haltetafel', 'weichenende')) AS model FROM det GROUP BY ALL")
@@ -35,7 +36,7 @@ NEEDC = "cls IN " + sql_list(R.NEED_COORDINATE)
 
 
 def _m(name, value, group, where="TRUE"):
-    return f"SELECT layout_id, {name} AS metric_name, round(CAST({value} AS DOUBLE), 6) AS metric_value FROM det WHERE {where} GROUP BY layout_id{group} HAVING {value} IS NOT NULL"
+    return f"SELECT layout_id, {name} AS metric_name, round(CAST({value} AS DOUBLE) + 1e-9, 6) AS metric_value FROM det WHERE {where} GROUP BY layout_id{group} HAVING {value} IS NOT NULL"
 
 
 @query("a2_quality_metrics", sql=" UNION ALL ".join([
@@ -53,15 +54,15 @@ def a3(t):
     return M.risk_counts(t.det)
 
 
-@query("a4_quality_stats", sql=f"""WITH r AS (SELECT *, {R2} AS risk FROM det), g AS (SELECT layout_id, count(*) AS total, round(avg(conf), 6) AS avg_confidence, count(*) FILTER (risk > 0.20) AS high_risk, count(*) FILTER (risk >= 0.10 AND risk <= 0.20) AS medium_risk, count(*) FILTER (risk < 0.10) AS low_risk FROM r GROUP BY layout_id)
-SELECT *, round(high_risk / total, 6) AS high_risk_share, round(medium_risk / total, 6) AS medium_risk_share, round(low_risk / total, 6) AS low_risk_share FROM g""")
+@query("a4_quality_stats", sql=f"""WITH r AS (SELECT *, {R2} AS risk FROM det), g AS (SELECT layout_id, count(*) AS total, round(avg(conf) + 1e-9, 6) AS avg_confidence, count(*) FILTER (risk > 0.20) AS high_risk, count(*) FILTER (risk >= 0.10 AND risk <= 0.20) AS medium_risk, count(*) FILTER (risk < 0.10) AS low_risk FROM r GROUP BY layout_id)
+SELECT *, round(high_risk / total + 1e-9, 6) AS high_risk_share, round(medium_risk / total + 1e-9, 6) AS medium_risk_share, round(low_risk / total + 1e-9, 6) AS low_risk_share FROM g""")
 def a4(t):
     d = M.quality_stats(t.det.withColumn("risk_score", S.row_risk()[0]))
     return rounded(d, "avg_confidence", "high_risk_share", "medium_risk_share", "low_risk_share")
 
 
-@query("a5_confidence_stats", sql="""WITH g AS (SELECT layout_id, count(*) AS total, round(avg(conf), 6) AS average, count(*) FILTER (conf >= 0.9) AS high, count(*) FILTER (conf >= 0.6 AND conf < 0.9) AS medium, count(*) FILTER (conf < 0.6) AS low, count(*) FILTER (conf < 0.4) AS very_low FROM det GROUP BY layout_id)
-SELECT *, round(high / total, 6) AS high_share, round(medium / total, 6) AS medium_share, round(low / total, 6) AS low_share, round(very_low / total, 6) AS very_low_share FROM g""")
+@query("a5_confidence_stats", sql="""WITH g AS (SELECT layout_id, count(*) AS total, round(avg(conf) + 1e-9, 6) AS average, count(*) FILTER (conf >= 0.9) AS high, count(*) FILTER (conf >= 0.6 AND conf < 0.9) AS medium, count(*) FILTER (conf < 0.6) AS low, count(*) FILTER (conf < 0.4) AS very_low FROM det GROUP BY layout_id)
+SELECT *, round(high / total + 1e-9, 6) AS high_share, round(medium / total + 1e-9, 6) AS medium_share, round(low / total + 1e-9, 6) AS low_share, round(very_low / total + 1e-9, 6) AS very_low_share FROM g""")
 def a5(t):
     return rounded(M.confidence_stats(t.det), "average", "high_share", "medium_share", "low_share", "very_low_share")
 
