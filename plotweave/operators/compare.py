@@ -204,7 +204,7 @@ def auction(edges: DataFrame, steps_per_unit: int = 10_000) -> DataFrame:
         idle = edges.join(owned.select("layout_id", "old_id"), ["layout_id", "old_id"], "left_anti")
         offer = idle.join(prices, ["layout_id", "new_id"]).withColumn("net", C("score") - C("price")).filter(C("net") > 0)
         two = offer.groupBy("layout_id", "old_id").agg(
-            F.max(F.struct("net", "new_id", "score", "price")).alias("b"), F.max_by("net", F.struct("net", "new_id")).alias("x"))
+            F.max(F.struct("net", "new_id", "score", "price")).alias("b"))
         second = offer.join(two.select("layout_id", "old_id", C("b.new_id").alias("best")), ["layout_id", "old_id"]).filter(C("new_id") != C("best"))
         second = second.groupBy("layout_id", "old_id").agg(F.max("net").alias("next"))
         bids = two.join(second, ["layout_id", "old_id"], "left").select(

@@ -147,9 +147,6 @@ def direction_track(signals: DataFrame, pixels: DataFrame, bounds: DataFrame, sh
     return g.select(*key, side.alias("direction"), "above", "below")
 
 
-POSITION = "row_id"
-
-
 def resolve_direction(df: DataFrame, pixels: DataFrame, bounds: DataFrame, sheets: DataFrame, gks: DataFrame) -> DataFrame:
     """Direction and its source for signals: kept, first tier, track, wider searches, or none.
 

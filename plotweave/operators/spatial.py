@@ -6,8 +6,6 @@ more rows than it has pixel positions, however many copies the data has.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,11 +106,6 @@ def without_near(new: DataFrame, old: DataFrame, radius: float, on: list[str], s
     return new.join(hit.select(*on, F.col("a_row_id").alias("row_id")).distinct(), [*on, "row_id"], "left_anti")
 
 
-def pair_filter(fn: Callable[[G.Box, G.Box], Column], limit: float, strict: bool = False) -> Column:
-    v = fn(G.box("a_"), G.box("b_"))
-    return v > limit if strict else v >= limit
-
-
 def reach_pairs(a: DataFrame, b: DataFrame, a_reach: G.Box, b_reach: G.Box, on: list[str] = KEYS, size: float = 256.0) -> DataFrame:
     """Pairs (``a_*``, ``b_*``) whose reach boxes touch; each pair once, in the cell of the common corner."""
     r = ["r1", "r2", "r3", "r4"]
