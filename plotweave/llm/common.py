@@ -8,6 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plotweave.session import scratch
+
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,3 +28,15 @@ def slices(batches: Iterator[pd.DataFrame], column: str, chars: int = 4_000_000)
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """``doc_id`` and ``text`` with null texts as empty ones; further columns on demand."""
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Rows of ``df`` as a table in the shared folder. The shuffle files behind it go as soon as it is written."""
+    spark = df.sparkSession
+    path, was = scratch(spark, "step"), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, was)
+    return spark.read.schema(df.schema).parquet(path)

@@ -21,17 +21,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plotweave.llm.common import slices
-from plotweave.session import cut
+from plotweave.llm.common import cut, slices
 
 MAX_BITS = 1 << 27
 LOWEST = -(2**63)
 # fixed values: odd multipliers of the gram hashes
 C1, C2, C3 = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD))
-PIECES = "d long, r long, start int, h long, seg long, anchor int, units int, content binary"
+PLACES = "d long, r long, start int, h long, seg long, units int"
+PIECES = "d long, h long, seg long, k long, anchor int, units int, content binary"
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -185,25 +185,47 @@ def passes(table: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (table[slot >> np.uint64(5)] >> (slot & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
 
 
-def pieces(rows: DataFrame, route: Route, anchors: DataFrame) -> DataFrame:
-    """Pieces of the windows with repeated anchors: where they are, their group ``h``, hash ``seg`` and content."""
+def places(rows: DataFrame, route: Route, anchors: DataFrame) -> DataFrame:
+    """Pieces of the windows with repeated anchors: where they are, their group ``h`` and the hash ``seg`` of their content."""
     table = rows.sparkSession.sparkContext.broadcast(bit_table(anchors, "h"))
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in slices(batches, "text"):
             out = []
             for d, r, text in zip(pdf["d"], pdf["r"], pdf["text"], strict=True):
-                doc, got = route.anchors(text)
-                if not got:
-                    continue
-                h, first, place, end = got
-                for i in np.flatnonzero(passes(table.value, h)).tolist():
-                    a, b = int(first[i]), int(end[i]) + route.length - 1
-                    content = doc.content(a, b)
-                    out.append((d, r, a, int(h[i].view(np.int64)), xxhash.xxh3_64_intdigest(content) - 2**63, int(place[i]) - a, b - a, content))
-            yield pd.DataFrame(out, columns=["d", "r", "start", "h", "seg", "anchor", "units", "content"])
+                for h, a, _, units, content in _kept(route, text, table.value):
+                    out.append((d, r, a, h, xxhash.xxh3_64_intdigest(content) - 2**63, units))
+            yield pd.DataFrame(out, columns=["d", "r", "start", "h", "seg", "units"])
 
-    return rows.mapInPandas(found, PIECES)
+    return rows.mapInPandas(found, PLACES)
+
+
+def pieces(rows: DataFrame, route: Route, groups: DataFrame) -> DataFrame:
+    """Content of the pieces in ``groups`` (``h``), equal ones merged within a task's slice of the texts."""
+    table = rows.sparkSession.sparkContext.broadcast(bit_table(groups, "h"))
+
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in slices(batches, "text"):
+            seen: dict[tuple[int, bytes], list] = {}
+            for d, text in zip(pdf["d"], pdf["text"], strict=True):
+                for h, _, anchor, units, content in _kept(route, text, table.value):
+                    own = seen.setdefault((h, content), [d, 0, anchor, units])
+                    own[0], own[1] = min(own[0], d), own[1] + 1
+            out = [(d, h, xxhash.xxh3_64_intdigest(c) - 2**63, k, anchor, units, c) for (h, c), (d, k, anchor, units) in seen.items()]
+            yield pd.DataFrame(out, columns=["d", "h", "seg", "k", "anchor", "units", "content"])
+
+    return rows.select("d", "text").mapInPandas(found, PIECES)
+
+
+def _kept(route: Route, text: str, table: np.ndarray) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """(anchor, first unit, anchor's place, units, content) of the pieces whose anchor passes the table."""
+    doc, got = route.anchors(text)
+    if not got:
+        return
+    h, first, place, end = got
+    at = np.flatnonzero(passes(table, h))
+    for key, a, p, b in zip(h[at].view(np.int64).tolist(), first[at].tolist(), place[at].tolist(), (end[at] + route.length - 1).tolist(), strict=True):
+        yield key, a, p - a, b - a, doc.content(a, b)
 
 
 def merged(found: DataFrame, lo: str, k: Column) -> DataFrame:
@@ -239,56 +261,55 @@ def split(unique: DataFrame, route: Route, block: int) -> DataFrame:
     )
 
 
-def resolve(found: DataFrame, route: Route, alone: Column, index: Callable[[pd.DataFrame], pd.DataFrame], shard_units: int) -> DataFrame:
-    """``h, seg, spans`` of all pieces with a repeated window; spans are (first, last + 1, lo) of windows.
+def resolve(docs: DataFrame, route: Route, repeated: Column, alone: Column, index: Callable[[pd.DataFrame], pd.DataFrame], shard_units: int) -> tuple[DataFrame, DataFrame]:
+    """Places of all pieces that may be repeated (see ``places``), and ``h, seg, spans`` of those with a repeated window;
+    spans are (first, last + 1, lo) of windows.
 
-    ``index`` gets the pieces of whole groups, about ``shard_units`` units of them, and returns ``h, seg, first, end, lo``.
-    A group of one piece needs no index: if ``alone`` holds, all its windows are repeated.
+    A group that holds one piece only needs no index: if ``alone`` holds over its ``lo`` and ``k``, all its windows are
+    repeated. The others' contents are fetched. ``index`` gets the pieces of whole groups, about ``shard_units`` units of
+    them, and returns ``h, seg, first, end, lo``.
     """
-    unique = cut(merged(found, "d", F.lit(1)))
+    rows = numbered(docs)
+    found = cut(places(rows, route, cut(repeated_anchors(rows, route, repeated))))
+    groups = cut(found.groupBy("h").agg(
+        F.min("seg").alias("seg"), F.max("seg").alias("other"), F.min("d").alias("lo"), F.count(F.lit(1)).alias("k"), F.max("units").alias("units")
+    ))
     whole = F.struct(F.lit(0).alias("first"), (F.col("units") - route.length + 1).cast("int").alias("end"), "lo")
-    solved, parents = [], []
+    single = groups.filter((F.col("seg") == F.col("other")) & alone).select("h", "seg", F.array(whole).alias("spans"))
+    several = groups.filter("seg <> other").select("h")
+    unique = cut(merged(pieces(rows, route, several), "d", F.col("k")).join(several, "h", "left_semi"))
+    levels, parents = [[single]], []
     for block in (*route.blocks, None):
-        sizes = unique.groupBy("h").agg(F.count(F.lit(1)).alias("nd"))
-        sized = unique.join(sizes, "h")
-        solved.append(sized.filter((F.col("nd") == 1) & alone).select("h", "seg", F.array(whole).alias("spans")))
+        sized = unique.join(unique.groupBy("h").agg(F.count(F.lit(1)).alias("nd")), "h")
+        if parents:
+            levels[-1].append(sized.filter((F.col("nd") == 1) & alone).select("h", "seg", F.array(whole).alias("spans")))
         few = (F.col("nd") > 1) & (F.col("nd") <= route.hot) if block else F.col("nd") > 1
         grouped = sized.filter(few).select("h", "seg", "lo", "k", "anchor", "content")
-        total = sized.filter(few).agg(F.sum("units")).first()[0] or 0
-        shards = 16 + total // shard_units
+        shards = 16 + (unique.agg(F.sum("units")).first()[0] or 0) // shard_units
         spans = grouped.groupBy(F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard")).applyInPandas(
             lambda pdf: index(pdf), "h long, seg long, first int, end int, lo long"
         )
-        spans = spans.groupBy("h", "seg").agg(F.collect_list(F.struct("first", "end", "lo")).alias("spans"))
-        solved.append(cut(spans))
+        levels[-1].append(cut(spans.groupBy("h", "seg").agg(F.collect_list(F.struct("first", "end", "lo")).alias("spans"))))
         hot = sized.filter(F.col("nd") > route.hot)
         if not block or hot.isEmpty():
             break
         parts = cut(split(hot, route, block))
         parents.append(parts.select("h", "seg", "parent_h", "parent_seg", "at"))
         unique = cut(merged(parts, "lo", F.col("k")))
-        solved.append(None)  # what follows belongs to this level's parts
-    levels: list[list[DataFrame]] = [[]]
-    for s in solved:
-        if s is None:
-            levels.append([])
-        else:
-            levels[-1].append(s)
+        levels.append([])  # of this level's parts
     both = reduce(DataFrame.union, levels[-1])
     for own, links in zip(reversed(levels[:-1]), reversed(parents), strict=True):
-        up = links.join(both, ["h", "seg"]).select(
-            F.col("parent_h").alias("h"), F.col("parent_seg").alias("seg"),
-            F.explode(F.transform("spans", lambda s: F.struct((s["first"] + F.col("at")).alias("first"), (s["end"] + F.col("at")).alias("end"), s["lo"].alias("lo")))).alias("s"),
-        ).groupBy("h", "seg").agg(F.collect_list("s").alias("spans"))
-        both = reduce(DataFrame.union, [*own, up])
-    return both
+        moved = F.transform("spans", lambda s: F.struct((s["first"] + F.col("at")).alias("first"), (s["end"] + F.col("at")).alias("end"), s["lo"].alias("lo")))
+        up = links.join(both, ["h", "seg"]).select(F.col("parent_h").alias("h"), F.col("parent_seg").alias("seg"), F.explode(moved).alias("s"))
+        both = reduce(DataFrame.union, [*own, up.groupBy("h", "seg").agg(F.collect_list("s").alias("spans"))])
+    return found, both
 
 
 def covered(found: DataFrame, spans: DataFrame, route: Route, only_earlier: bool) -> DataFrame:
     """``d, r, ranges``: unit ranges (from, to) of each document under a repeated window."""
     kept = F.filter("spans", lambda s: s["lo"] < F.col("d")) if only_earlier else F.col("spans")
     ranges = F.transform(kept, lambda s: F.struct((F.col("start") + s["first"]).alias("a"), (F.col("start") + s["end"] + route.length - 1).alias("b")))
-    return (
+    return cut(
         found.select("d", "r", "start", "h", "seg").join(spans, ["h", "seg"])
         .select("d", "r", F.explode(ranges).alias("x")).groupBy("d", "r").agg(F.collect_list("x").alias("ranges"))
     )
@@ -316,9 +337,3 @@ def with_ranges(docs: DataFrame, ranges: DataFrame, apply: Callable, schema: str
             yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
 
     return joined.mapInPandas(made, schema)
-
-
-def prepared(spark: SparkSession, docs: DataFrame, route: Route, repeated: Column) -> DataFrame:
-    """Written pieces of all windows that may be repeated."""
-    rows = numbered(docs)
-    return cut(pieces(rows, route, cut(repeated_anchors(rows, route, repeated))))

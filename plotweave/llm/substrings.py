@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotweave.llm.common import table
-from plotweave.llm.routing import Route, Words, covered, mask, prepared, resolve, with_ranges
+from plotweave.llm.routing import Route, Words, covered, mask, resolve, with_ranges
 
 WINDOW, GRAM = 13, 5
 SHARD_WORDS = 200_000
@@ -119,8 +119,7 @@ def matches(pdf: pd.DataFrame, window: int = WINDOW) -> pd.DataFrame:
 def repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = 256) -> DataFrame:
     """``d, r, ranges``: word ranges of each document covered by windows that start in a document with a smaller id."""
     route = Route(Words, window, min(gram, window), hot)
-    found = prepared(docs.sparkSession, docs, route, F.col("lo") < F.col("hi"))
-    spans = resolve(found, route, F.lit(True), lambda pdf: matches(pdf, window), SHARD_WORDS)
+    found, spans = resolve(docs, route, F.col("lo") < F.col("hi"), F.lit(True), lambda pdf: matches(pdf, window), SHARD_WORDS)
     return covered(found, spans, route, only_earlier=True)
 
 
