@@ -42,20 +42,21 @@ def unmatched(df: DataFrame, matches: DataFrame, side: str) -> DataFrame:
     return df.join(matches.select("layout_id", C(side).alias("detection_id")), ID, "left_anti")
 
 
-def _without_chars(names: DataFrame, share: float = 0.2223) -> DataFrame:
-    """Each name with every way to drop up to ``share`` of its characters.
+def _rare_letters(names: DataFrame, counts: DataFrame, limit: float) -> DataFrame:
+    """Each name with the rarest of its letters, numbered within the name, as search keys.
 
-    Two names with a ratio of 0.9 or more have a common part that is left after so few deletions,
-    so equal remains are a complete search key.
+    A ratio of ``limit`` means that ``limit / 2`` of both names' letters match, so both share that many numbered letters and
+    none is shorter than ``limit / (2 - limit)`` of the other. A name that can leave out only k of its n letters
+    shares one of its k + 1 rarest with every partner: the keys are complete for names of any length.
     """
-    d = names.select("layout_id", "name", C("name").alias("key"), F.floor(F.length("name") * share).cast("int").alias("left"))
-    out, step = d.select("layout_id", "name", "key"), d
-    for _ in range(4):
-        n = F.length("key")
-        cuts = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.substr("key", F.lit(1), i - 1), F.substr("key", i + 1)))
-        step = step.filter((C("left") > 0) & (n > 1)).withColumn("key", F.explode(cuts)).withColumn("left", C("left") - 1).distinct()
-        out = out.unionByName(step.select("layout_id", "name", "key"))
-    return out.distinct()
+    n = F.length("name")
+    letters = names.select("layout_id", "name", n.alias("n"), F.explode(F.split("name", "")).alias("letter")).filter("letter <> ''")
+    numbered = letters.groupBy("layout_id", "name", "n", "letter").agg(F.count(F.lit(1)).alias("k"))
+    numbered = numbered.select("layout_id", "name", "n", "letter", F.explode(F.sequence(F.lit(1), C("k").cast("int"))).alias("no"))
+    ranked = numbered.join(counts, ["letter", "no"]).groupBy("layout_id", "name", "n").agg(F.sort_array(F.collect_list(F.struct("times", "letter", "no"))).alias("all"))
+    least = F.ceil(C("n") * (limit / (2 - limit)) - 1e-9)
+    keys = F.slice("all", F.lit(1), (C("n") - least + 1).cast("int"))
+    return ranked.select("layout_id", "name", F.explode(keys).alias("key")).select("layout_id", "name", F.concat("key.letter", C("key.no").cast("string")).alias("key"))
 
 
 def similar_names(old: DataFrame, new: DataFrame, limit: float = 0.9) -> DataFrame:
@@ -63,8 +64,12 @@ def similar_names(old: DataFrame, new: DataFrame, limit: float = 0.9) -> DataFra
     def names(d):
         return d.filter(C("cls") == "signal").select("layout_id", T.text_or_empty(C("anchor_text")).alias("name")).filter(C("name") != "").distinct()
 
-    a = _without_chars(names(old)).withColumnRenamed("name", "a_name")
-    b = _without_chars(names(new)).withColumnRenamed("name", "b_name")
+    both = cut(names(old).withColumn("_old", F.lit(True)).unionByName(names(new).withColumn("_old", F.lit(False))))
+    # how many names have a letter so often: as many rows as there are letters in use
+    per = both.select("name", F.explode(F.split("name", "")).alias("letter")).filter("letter <> ''").groupBy("name", "letter").agg(F.count(F.lit(1)).alias("k"))
+    counts = cut(per.select("letter", F.explode(F.sequence(F.lit(1), C("k").cast("int"))).alias("no")).groupBy("letter", "no").agg(F.count(F.lit(1)).alias("times")))
+    a = _rare_letters(both.filter("_old").drop("_old"), counts, limit).withColumnRenamed("name", "a_name")
+    b = _rare_letters(both.filter("NOT _old").drop("_old"), counts, limit).withColumnRenamed("name", "b_name")
     la, lb = F.length("a_name"), F.length("b_name")
     p = a.join(b, ["layout_id", "key"]).filter((C("a_name") != C("b_name")) & (2 * F.least(la, lb) >= limit * (la + lb))).select("layout_id", "a_name", "b_name").distinct()
     r = p.select("a_name", "b_name").distinct().withColumn("ratio", T.similarity("a_name", "b_name")).filter(C("ratio") >= limit)

@@ -211,18 +211,23 @@ def assign_coordinates(anchors: DataFrame, coords: DataFrame) -> DataFrame:
 
 
 # --- user symbols ------------------------------------------------------------------------------
-def link_symbols(df: DataFrame, coords: DataFrame, symbols: DataFrame, reach: float = 500.0, rotate: bool = True) -> DataFrame:
+def link_symbols(df: DataFrame, coords: DataFrame, symbols: DataFrame, rotate: bool = True) -> DataFrame:
     """Nearest coordinate on an allowed side of a user symbol, in the symbol's own frame.
 
-    ``rotate=False`` keeps the page's axes. ``reach`` bounds the link distance of all symbols.
+    ``rotate=False`` keeps the page's axes. Every symbol is searched on a grid of its own reach: places are measured in
+    the power of two above the symbol's link distance, so one unit of the grid is enough for any distance.
     """
-    s = symbols.filter(C("links_to_coordinate") & (C("max_link_distance") <= reach)).select(
-        C("name").alias("cls"), C("coordinate_position").alias("sides"), C("max_link_distance").alias("most"))
-    d = df.join(s, "cls").select(*KEYS, "row_id", "cls", "angle", "sides", "most", C("cx").alias("x"), C("cy").alias("y"))
-    c = places(coords, ["cx", "cy"]).select(*KEYS, "row_id", C("cx").alias("x"), C("cy").alias("y"))
+    reach = F.pow(F.lit(2.0), F.ceil(F.log2("max_link_distance")))
+    s = symbols.filter(C("links_to_coordinate") & (C("max_link_distance") > 0)).select(
+        C("name").alias("cls"), C("coordinate_position").alias("sides"), C("max_link_distance").alias("most"), reach.alias("unit"))
+    units = [r[0] for r in s.select("unit").distinct().collect()]  # powers of two
+    d = df.join(s, "cls").select(*KEYS, "row_id", "cls", "angle", "sides", "most", "unit", (C("cx") / C("unit")).alias("x"), (C("cy") / C("unit")).alias("y"))
+    c = places(coords, ["cx", "cy"]).withColumn("unit", F.explode(F.array(*[F.lit(u) for u in units]).cast("array<double>")))
+    c = c.select(*KEYS, "row_id", "unit", (C("cx") / C("unit")).alias("x"), (C("cy") / C("unit")).alias("y"))
     gx, gy = C("b_x") - C("a_x"), C("b_y") - C("a_y")
     lx, ly = G.local_offset(gx, gy, C("a_angle")) if rotate else (gx, gy)
-    p = near_pairs(d, c, reach, where=C("dist") <= C("a_most")).withColumns({"lx": lx, "ly": ly})
+    p = near_pairs(d, c, 1.0, [*KEYS, "unit"]).withColumn("dist", C("dist") * C("unit")).filter(C("dist") <= C("a_most"))
+    p = p.withColumns({"lx": lx * C("unit"), "ly": ly * C("unit")})
     p = p.filter(F.exists("a_sides", lambda side: G.side_allowed(side, C("lx"), C("ly"))))
     m = F.min(F.struct("dist", "b_row_id"))
     best = p.groupBy(*KEYS, C("a_row_id").alias("row_id"), C("a_cls").alias("cls")).agg(m.alias("m"))

@@ -143,8 +143,18 @@ def nearest_distance(df: DataFrame, coords: DataFrame, radii: list[float]) -> Da
     return df.join(near.select(*KEYS, "row_id", C("dist").alias("min_distance")), [*KEYS, "row_id"], "left")
 
 
-def relation_issues(df: DataFrame, coords: DataFrame, radii: tuple = (200.0, 800.0, 3200.0, 12800.0, 51200.0)) -> DataFrame:
-    """Classes that need, or should have, a coordinate within their limit and have none."""
+def relation_issues(df: DataFrame, coords: DataFrame, radii: tuple | None = None) -> DataFrame:
+    """Classes that need, or should have, a coordinate within their limit and have none.
+
+    Without ``radii`` the search grows until it spans the largest page.
+    """
+    if radii is None:
+        both = df.select("cx", "cy").unionByName(coords.select("cx", "cy"))
+        ends = both.agg(*[f(c) for c in ("cx", "cy") for f in (F.min, F.max)]).first()
+        span = sum((hi - lo) for lo, hi in (ends[:2], ends[2:])) if None not in ends else 0.0
+        radii = [200.0]
+        while radii[-1] < span:
+            radii.append(4 * radii[-1])
     limit = R.lookup(C("cls"), {k: v[0] for k, v in R.RELATION.items()})
     level = R.lookup(C("cls"), {k: v[1] for k, v in R.RELATION.items()})
     d = nearest_distance(df.filter(limit.isNotNull()), coords, list(radii))

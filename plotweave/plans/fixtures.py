@@ -1,6 +1,7 @@
 """Views over the given tables, shaped like the element tables the operators expect.
 
-Every view is one SQL text that Spark and the checking database both understand.
+Every view is one SQL text that Spark and the checking database both understand. Each further 150,000 orders open 50
+further plans, and there are four corrections for every sixth row.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ SELECT t.*, cx - w / 2.0 AS x1, cy - h / 2.0 AS y1, cx + w / 2.0 AS x2, cy + h /
   CASE WHEN cls = 'haltepunkt' THEN concat('haltepunkt ', CAST(r % 9 AS STRING), ' (', trim(anchor_text), ')') ELSE anchor_text END AS name_text,
   CASE WHEN fahrtrichtung IS NULL THEN 'none' WHEN r % 5 = 0 THEN 'gks' WHEN r % 5 = 1 THEN 'track' WHEN r % 5 = 2 THEN 'gks_relaxed' ELSE 'gks_nearest' END AS direction_source
 FROM (
-  SELECT o_orderkey AS row_id, o_orderkey % 50 AS layout_id, CAST(r % 3 + 1 AS INT) AS page, r, ck,
+  SELECT o_orderkey AS row_id, o_orderkey % 50 + 50 * CAST(floor(o_orderkey / 150000) AS BIGINT) AS layout_id, CAST(r % 3 + 1 AS INT) AS page, r, ck,
     CASE (r + ck) % 13 WHEN 0 THEN 'signal' WHEN 1 THEN 'gks_gesteuert' WHEN 2 THEN 'gks_festkodiert' WHEN 3 THEN 'gm_block'
       WHEN 4 THEN 'isolierstoss' WHEN 5 THEN 'prellbock' WHEN 6 THEN 'haltepunkt' WHEN 7 THEN 'sverbinder' WHEN 8 THEN 'haltetafel'
       WHEN 9 THEN 'weichenende' ELSE 'coordinate' END AS cls,
@@ -56,7 +57,8 @@ FROM det WHERE r % 16 <> 0
 """)
 
 _view("corr", ["events"], """
-SELECT event_id AS corr_id, user_id % 50 AS layout_id, event_id % 1500 AS row_id,
+SELECT event_id AS corr_id, user_id % 50 + 50 * CAST(floor(event_id / 100000) AS BIGINT) AS layout_id,
+  CAST(floor(event_id / 4) AS BIGINT) * 6 + CAST(floor(event_id / 4) AS BIGINT) % 6 AS row_id,
   CASE event_type WHEN 'click' THEN 'anchor_text' WHEN 'signup' THEN 'coord_text' WHEN 'error' THEN 'fahrtrichtung' ELSE 'notes' END AS column_name,
   event_type AS correction_type, CAST(CAST(round(value * 100) AS BIGINT) AS STRING) AS new_value, ts AS created_at
 FROM events
@@ -64,11 +66,11 @@ FROM events
 
 # correction log entries that belong to a row of their plan
 _view("corr_log", ["corr"], """
-SELECT corr_id, row_id % 50 AS layout_id, row_id, column_name, correction_type, new_value, created_at FROM corr
+SELECT corr_id, row_id % 50 + 50 * CAST(floor(row_id / 150000) AS BIGINT) AS layout_id, row_id, column_name, correction_type, new_value, created_at FROM corr
 """)
 
 _view("px", ["lineitem"], """
-SELECT DISTINCT l_suppkey % 50 AS layout_id, CAST(l_linenumber % 3 + 1 AS INT) AS page,
+SELECT DISTINCT l_suppkey % 50 + 50 * CAST(floor(l_orderkey / 150000) AS BIGINT) AS layout_id, CAST(l_linenumber % 3 + 1 AS INT) AS page,
   150 + 300 * (l_partkey % 4) AS y, (l_orderkey * 13) % 2003 AS x
 FROM lineitem
 """)

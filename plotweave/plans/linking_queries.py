@@ -237,11 +237,14 @@ def j14(t):
 
 
 @query("j15_attach_link_ids", sql="""
-WITH v AS (SELECT layout_id, row_id, cls, coord_text, r % 40 AS cx1, ck % 30 AS cy1 FROM det), c AS (SELECT layout_id, substr(coord_text, 1, 2) AS ct, cx1 % 4 AS kx, cy1 % 3 AS ky, min(row_id) AS id FROM v WHERE cls = 'coordinate' AND coord_text IS NOT NULL GROUP BY ALL)
-SELECT v.layout_id, v.row_id, CASE WHEN v.cls <> 'coordinate' THEN id END AS link_coord_row_id FROM v LEFT JOIN c ON v.layout_id = c.layout_id AND substr(v.coord_text, 1, 2) = ct AND v.cx1 % 4 = kx AND v.cy1 % 3 = ky""")
+WITH v AS (SELECT layout_id, row_id, cls, coord_text, x1 AS cx1, y1 AS cy1 FROM det UNION ALL SELECT layout_id, -1 - row_id, 'signal', coord_text, x1, y1 FROM det WHERE cls = 'coordinate'),
+c AS (SELECT layout_id, coord_text AS ct, cx1 AS kx, cy1 AS ky, min(row_id) AS id FROM v WHERE cls = 'coordinate' AND coord_text IS NOT NULL GROUP BY ALL)
+SELECT v.layout_id, v.row_id, CASE WHEN v.cls <> 'coordinate' THEN id END AS link_coord_row_id FROM v LEFT JOIN c ON v.layout_id = c.layout_id AND v.coord_text = ct AND v.cx1 = kx AND v.cy1 = ky""")
 def j15(t):
-    d = t.det.select("layout_id", "row_id", "cls", F.substr("coord_text", F.lit(1), F.lit(2)).alias("coord_text"), (C("r") % 40 % 4).alias("cx1"), (C("ck") % 30 % 3).alias("cy1"))
-    return L.attach_link_ids(d).select("layout_id", "row_id", "link_coord_row_id")
+    # every coordinate is also there as a linked anchor that carries its text and box
+    d = t.det.select("layout_id", "row_id", "cls", "coord_text", C("x1").alias("cx1"), C("y1").alias("cy1"))
+    linked = d.filter(C("cls") == "coordinate").select("layout_id", (-1 - C("row_id")).alias("row_id"), F.lit("signal").alias("cls"), "coord_text", "cx1", "cy1")
+    return L.attach_link_ids(d.unionByName(linked)).select("layout_id", "row_id", "link_coord_row_id")
 
 
 @query("j28_linked_coordinates", sql="SELECT layout_id, row_id, coord_text FROM det a WHERE cls = 'coordinate' AND EXISTS (SELECT 1 FROM det b WHERE b.cls <> 'coordinate' AND b.layout_id = a.layout_id AND trim(b.coord_text) = trim(a.coord_text))")

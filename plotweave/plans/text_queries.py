@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plotweave import rules as R
 from plotweave.functions import text as T
+from plotweave.operators import compare
 from plotweave.operators import texts as X
 from plotweave.plans.registry import query, sql_case, sql_list
 
@@ -124,13 +125,13 @@ BLOCK = "concat(anchor_text, chr(10), 'WA  ', replace(coord_text, '0', 'O'), chr
 
 
 @query("f9_switch_block", sql=f"""
-SELECT layout_id, row_id, trim(anchor_text) AS block_id,
-  concat('WA  ', regexp_replace(z, 'O', '0', 'g'), ' | ', 'WB 0,', CAST(r % 1000 AS STRING)) AS coords
-FROM (SELECT *, CASE WHEN coord_text LIKE '%(%' THEN replace(replace(coord_text, '0', 'O'), '(Gl.112)', '') ELSE replace(coord_text, '0', 'O') END AS z
-  FROM det WHERE coord_text IS NOT NULL AND trim(anchor_text) <> '' AND NOT coord_text LIKE '%(%')""")
+SELECT layout_id, row_id, trim(coalesce(anchor_text, '')) AS block_id,
+  concat(CASE WHEN coord_text IS NULL THEN 'WA' WHEN coord_text LIKE '%,%' THEN concat('WA  ', coord_text) WHEN coord_text LIKE '%(%'
+    THEN concat('WA  ', split_part(coord_text, '(', 1), '(Gl.112)') ELSE concat('WA  ', coord_text) END, ' | ', 'WB 0,', CAST(r % 1000 AS STRING)) AS coords
+FROM det""")
 def f9(t):
-    d = t.det.filter(C("coord_text").isNotNull() & T.filled(C("anchor_text")) & ~C("coord_text").contains("("))
-    block = F.concat(C("anchor_text"), F.lit("\nWA  "), F.replace(C("coord_text"), F.lit("0"), F.lit("O")), F.lit("\n \nWB Q,"),
+    d = t.det
+    block = F.concat(F.coalesce("anchor_text", F.lit("")), F.lit("\nWA  "), F.replace(F.coalesce("coord_text", F.lit("")), F.lit("0"), F.lit("O")), F.lit("\n \nWB Q,"),
                      (C("r") % 1000).cast("string"))
     return d.select(*ID, T.block_id(block).alias("block_id"), F.array_join(T.block_coords(block), " | ").alias("coords"))
 
@@ -199,12 +200,9 @@ def f23(t):
 
 @query("f24_text_similarity")
 def f24(t):
-    # similarity of distinct name pairs of one plan that start alike; the ratio runs on the reduced pairs
-    n = t.det.filter(C("cls") == "signal").select("layout_id", T.text_or_empty(C("anchor_text")).alias("name")).distinct()
-    a = n.select("layout_id", C("name").alias("a"), F.substr("name", F.lit(1), F.lit(2)).alias("k"))
-    b = n.select("layout_id", C("name").alias("b"), F.substr("name", F.lit(1), F.lit(2)).alias("k"))
-    p = a.join(b, ["layout_id", "k"]).filter((C("a") < C("b")) & (F.levenshtein("a", "b") <= 2)).select("a", "b").distinct()
-    return p.select("a", "b", F.round(T.similarity("a", "b"), 6).alias("ratio"))
+    # all pairs of different names of one plan that are alike
+    p = compare.similar_names(t.det, t.det, 0.75).filter(C("a_name") < C("b_name"))
+    return p.select("layout_id", C("a_name").alias("a"), C("b_name").alias("b"), F.round("ratio", 6).alias("ratio"))
 
 
 @query("f25_coordinate_equal", "det det2", sql="""

@@ -30,47 +30,55 @@ def _line(df: DataFrame, k0, k1, k2, k3, text: Column) -> DataFrame:
     return df.select(col(k0, "int").alias("k0"), col(k1, "string").alias("k1"), col(k2, "int").alias("k2"), col(k3, "long").alias("k3"), text.alias("line"))
 
 
-def json_lines(df: DataFrame, orient: str, key: str = "row_id") -> DataFrame:
-    """Ordered lines of one JSON document over rows with the unique id ``key``.
+def _keys(df: DataFrame, key: str) -> list[str]:
+    return [*(["layout_id"] if "layout_id" in df.columns and key != "layout_id" else []), key]
 
-    ``records``: list of objects; ``table``: column names and rows; ``index``: object by id.
+
+def json_lines(df: DataFrame, orient: str, key: str = "row_id", index: list[str] | None = None) -> DataFrame:
+    """Ordered lines of one JSON document over rows with the id ``key``, unique within a ``layout_id`` if there is one.
+
+    ``records``: list of objects; ``table``: column names and rows; ``index``: object by ``index``, the id alone if not given;
+    several plans need ``["layout_id", "row_id"]``, joined by "/".
     """
     cols = df.columns
     one = df.sparkSession.range(1)
-    first = df.agg(F.min(key).alias("m")).first()["m"]
-    comma = F.when(C(key) == F.lit(first), F.lit("")).otherwise(F.lit(","))
+    keys = _keys(df, key)
+    first = df.agg(F.min(F.struct(*keys)).alias("m")).first()["m"]
+    own = F.lit(False) if first is None else F.struct(*keys).eqNullSafe(F.struct(*[F.lit(first[k]).alias(k) for k in keys]))
+    comma = F.when(own, F.lit("")).otherwise(F.lit(","))
     if orient == "table":
         # the record's values without its names
         value = F.concat(F.lit("["), F.array_join(F.array(*[F.regexp_replace(F.to_json(F.struct(C(c).alias("v")), {"ignoreNullFields": "false"}), r"^\{\"v\":|\}$", "") for c in cols]), ","), F.lit("]"))
         names = ",".join(f'"{c}"' for c in cols)
         head, tail = f'{{"columns":[{names}],"data":[', "]}"
     elif orient == "index":
-        value, head, tail = F.concat(F.lit('"'), C(key).cast("string"), F.lit('":'), _record(cols)), "{", "}"
+        value, head, tail = F.concat(F.lit('"'), F.concat_ws("/", *[C(k).cast("string") for k in index or [key]]), F.lit('":'), _record(cols)), "{", "}"
     else:
         value, head, tail = _record(cols), "[", "]"
     body = _line(df, 1, "", 0, C(key), F.concat(comma, value))
     return _line(one, 0, "", 0, 0, F.lit(head)).unionByName(body).unionByName(_line(one, 2, "", 0, 0, F.lit(tail)))
 
 
-def write_json(df: DataFrame, path: str, orient: str = "records", key: str = "row_id", lines: bool = False) -> None:
+def write_json(df: DataFrame, path: str, orient: str = "records", key: str = "row_id", lines: bool = False, index: list[str] | None = None) -> None:
     """One JSON document, or one object per line with ``lines=True``."""
     if lines:
         df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
     else:
-        _write_lines(json_lines(df, orient, key), path)
+        _write_lines(json_lines(df, orient, key, index), path)
 
 
 def grouped_lines(df: DataFrame, group: str, key: str, record: Column, rank: Column | None = None) -> DataFrame:
     """Lines of an object with one list of records per group; groups without rows do not appear."""
     r = F.lit(0) if rank is None else rank
     d = df.withColumns({"_g": C(group).cast("string"), "_r": r.cast("int"), "_line": record})
-    heads = d.groupBy("_r", "_g").agg(F.min(key).alias("_first"))
+    keys = F.struct(*_keys(df, key))
+    heads = d.groupBy("_r", "_g").agg(F.min(keys).alias("_first"))
     top = heads.agg(F.min(F.struct("_r", "_g")).alias("m")).first()["m"]
     lead = F.lit("") if top is None else F.when((C("_r") == F.lit(top["_r"])) & (C("_g") == F.lit(top["_g"])), "").otherwise(",")
     start = _line(heads, 2 + C("_r"), C("_g"), 0, 0, F.concat(lead, F.regexp_replace(F.to_json(F.struct(C("_g").alias("v"))), r"^\{\"v\":|\}$", ""), F.lit(":[")))
     stop = _line(heads, 2 + C("_r"), C("_g"), 2, 0, F.lit("]"))
     rows = d.join(heads, ["_r", "_g"])
-    rows = _line(rows, 2 + C("_r"), C("_g"), 1, C(key), F.concat(F.when(C(key) == C("_first"), "").otherwise(","), C("_line")))
+    rows = _line(rows, 2 + C("_r"), C("_g"), 1, C(key), F.concat(F.when(keys == C("_first"), "").otherwise(","), C("_line")))
     one = df.sparkSession.range(1)
     return _line(one, 0, "", 0, 0, F.lit("{")).unionByName(start).unionByName(rows).unionByName(stop).unionByName(_line(one, 1 << 20, "", 0, 0, F.lit("}")))
 

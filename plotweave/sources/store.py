@@ -126,6 +126,10 @@ def compact(spark: SparkSession, path: str, target: str) -> None:
         d = read_table(spark, path, t)
         if d is not None:
             (_replace if t in REPLACED else _append)(d.drop("stored_at"), target, t)
+    plans = _read(spark, path, "layouts")
+    live = read_table(spark, path, "elements")
+    if plans is not None and live is not None:
+        plans.join(live.select("layout_id").distinct(), "layout_id", "left_semi").write.mode("append").parquet(_at(target, "layouts"))
     s = read_symbols(spark, path)
     if s is not None:
         upsert_symbols(s, target)

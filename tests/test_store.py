@@ -53,6 +53,30 @@ def test_json_documents(spark, tmp_path):
     assert sorted(g) == ["0", "1", "2", "3"] and sum(len(v) for v in g.values()) == 20
 
 
+def test_json_of_plans_that_repeat_row_ids(spark, tmp_path):
+    d = rows(spark).withColumn("row_id", F.floor(C("row_id") / 4))
+    for orient in ("records", "table", "index"):
+        export.write_json(d, str(tmp_path / orient), orient, index=["layout_id", "row_id"])
+    assert len(_document(str(tmp_path / "records"))) == 20 and len(_document(str(tmp_path / "table"))["data"]) == 20
+    by = _document(str(tmp_path / "index"))
+    assert len(by) == 20 and all(k == f"{v['layout_id']}/{v['row_id']}" for k, v in by.items())
+    export.write_json_grouped(d, "cls", str(tmp_path / "grouped"))
+    assert len(_document(str(tmp_path / "grouped"))["signal"]) == 20
+    export.write_json(d.limit(0), str(tmp_path / "none"))
+    assert _document(str(tmp_path / "none")) == []
+
+
+def test_compact_keeps_the_plan_list(spark, tmp_path):
+    p, q = str(tmp_path / "s"), str(tmp_path / "t")
+    store.upsert_elements(rows(spark), p)
+    store.delete_layout(spark, p, spark.createDataFrame([(2,)], "layout_id LONG"))
+    store.compact(spark, p, q)
+    assert store.read_elements(spark, q).count() == 15
+    assert {r.layout_id for r in store.list_workspaces(spark, q).collect()} == {0, 1, 3}
+    store.delete_layout(spark, q, spark.createDataFrame([(3,)], "layout_id LONG"))
+    assert {r.layout_id for r in store.read_elements(spark, q).select("layout_id").distinct().collect()} == {0, 1}
+
+
 def test_class_json_puts_coordinates_last(spark, tmp_path):
     d = rows(spark).withColumns({"cls": F.when(C("row_id") % 2 == 0, "coordinate").otherwise("signal"), "anchor_text": F.lit('a"b'), "coord_text": F.lit(None).cast("string"),
                                  "coord_value": F.lit(1.5), "gi_gl": F.lit(None).cast("string"), "notes": F.lit(""), "fahrtrichtung": F.lit("A")})
