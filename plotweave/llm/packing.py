@@ -8,19 +8,21 @@ take slots by an equality join on (length, block of ranks) with their rank withi
 
 from __future__ import annotations
 
+import json
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 from math import isqrt
 
 import pandas as pd
 import public_tokenizers
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plotweave.llm.common import slices, table, texts
-from plotweave.llm.tokens import TOKENIZER, pretokens, tokenizer
-from plotweave.session import cut
+from plotweave.llm.common import cut, slices, table, texts
+from plotweave.llm.tokens import PATTERN, TOKENIZER
 
 LIMIT = 2048
 END = (0).to_bytes(4, "little")
@@ -28,25 +30,18 @@ END = (0).to_bytes(4, "little")
 BLOCK = 4096
 
 
-class Ids:
-    """Little-endian ids of pre-tokens; forgets all when it has ``most`` entries."""
-
-    def __init__(self, path: str, most: int = 300_000):
-        self.tokenizer, self.most, self.known = tokenizer(path), most, {}
-
-    def __getitem__(self, part: str) -> bytes:
-        found = self.known.get(part)
-        if found is None:
-            ids = self.tokenizer.encode(part, add_special_tokens=False).ids
-            found = b"".join(i.to_bytes(4, "little") for i in ids)
-            if len(self.known) >= self.most:
-                self.known.clear()
-            if len(part) <= 100:
-                self.known[part] = found
-        return found
-
-    def text(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, pretokens(text)))
+@lru_cache(maxsize=4)
+def encoder(path: str) -> tiktoken.Encoding:
+    """The byte-level BPE of a tokenizer file, with ids in the order of its merges: same ids, no objects per token."""
+    with open(path) as f:
+        listed = json.load(f)
+    # byte-level vocabularies show printable bytes as themselves and the others as the characters from 256 on
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    hidden = [b for b in range(256) if b not in shown]
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    special = {t["content"]: t["id"] for t in listed["added_tokens"]}
+    ranks = {bytes(byte[c] for c in t): i for t, i in listed["model"]["vocab"].items() if t not in special}
+    return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 def token_pieces(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:
@@ -55,11 +50,11 @@ def token_pieces(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
     path = path or public_tokenizers.path(TOKENIZER)
 
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = Ids(path)
+        encode = encoder(path).encode_to_numpy
         for pdf in slices(batches, "text"):
             out = []
             for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                all_ids = ids.text(text) + END
+                all_ids = encode(text, allowed_special="all").astype("<u4").tobytes() + END
                 n = len(all_ids) // 4
                 at, piece = 0, 0
                 while at < n:
