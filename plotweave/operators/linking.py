@@ -96,17 +96,23 @@ def link_patterns(links: DataFrame) -> DataFrame:
         F.avg("off_y").alias("mean_dy"), F.stddev_pop("off_y").alias("sd_dy"))
 
 
-def link_adaptive(unlinked: DataFrame, coords: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Coordinate nearest to where the links of the class usually point."""
+def adaptive_pairs(unlinked: DataFrame, coords: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Coordinates around the place where the links of the class usually point, with their distance from it."""
     d = unlinked.join(patterns.filter(C("n") >= 2), [*KEYS, "cls"]).withColumns({
         "tx": C("cx") + C("mean_dx"), "ty": C("cy") + C("mean_dy"),
         "rx": F.greatest(3 * C("sd_dx"), F.lit(150.0)), "ry": F.greatest(3 * C("sd_dy"), F.lit(80.0))})
-    a = d.select(*KEYS, "row_id", "tx", "ty", "rx", "ry")
+    a = d.select(*KEYS, "row_id", "cls", "tx", "ty", "rx", "ry")
     b = places(coords, ["cx", "cy"]).drop("n")
     p = reach_pairs(a, b, (C("tx") - C("rx"), C("ty") - C("ry"), C("tx") + C("rx"), C("ty") + C("ry")), (C("cx"), C("cy"), C("cx"), C("cy")))
     p = p.filter((F.abs(C("b_cx") - C("a_tx")) < C("a_rx")) & (F.abs(C("b_cy") - C("a_ty")) < C("a_ry")))
-    m = F.min(F.struct(G.distance(C("a_tx"), C("a_ty"), C("b_cx"), C("b_cy")).alias("d"), C("b_row_id").alias("coord_id")))
-    return p.groupBy(*KEYS, C("a_row_id").alias("row_id")).agg(m.alias("m")).select(*KEYS, "row_id", "m.coord_id", C("m.d").alias("dist"))
+    d = G.distance(C("a_tx"), C("a_ty"), C("b_cx"), C("b_cy"))
+    return p.select(*KEYS, C("a_row_id").alias("row_id"), C("a_cls").alias("cls"), C("b_row_id").alias("coord_id"), d.alias("d"))
+
+
+def link_adaptive(unlinked: DataFrame, coords: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Coordinate nearest to where the links of the class usually point."""
+    p = adaptive_pairs(unlinked, coords, patterns)
+    return p.groupBy(*KEYS, "row_id").agg(F.min(F.struct("d", "coord_id")).alias("m")).select(*KEYS, "row_id", "m.coord_id", C("m.d").alias("dist"))
 
 
 def radial_candidates(anchors: DataFrame, coords: DataFrame, radius: float = 300.0) -> DataFrame:
@@ -175,7 +181,8 @@ def assign_coordinates(anchors: DataFrame, coords: DataFrame) -> DataFrame:
 
     Balises, connectors and the rest own their coordinate. Stop points only reserve theirs: signals
     and switch ends keep away from it, other classes may still take it. Switch ends take what no
-    other class has reserved. Boards without a coordinate inherit one.
+    other class has reserved. What is left without a coordinate looks where the page's links of its class usually point and
+    takes the nearest free one there. Boards without a coordinate inherit one.
     """
     anchors = raw_angle(anchors)
     cls = C("cls")
@@ -205,11 +212,24 @@ def assign_coordinates(anchors: DataFrame, coords: DataFrame) -> DataFrame:
     rest = rest.filter(~kept_away).unionByName(without(rest.filter(kept_away), soft))
     free = tagged(_claim(rest), "claim")
     links = cut(owned.unionByName(soft).unionByName(free))
+    links = links.unionByName(tagged(_adaptive(anchors, coords, links), "adaptive"))
     bare = anchors.filter(cls == "haltetafel").join(links.select(*KEYS, "row_id"), [*KEYS, "row_id"], "left_anti")
     heirs = inherit_from_nearest(bare, anchors.filter(cls == "gks_festkodiert"), gks)
     return links.unionByName(tagged(heirs, "inherited"))
 
 
+def _adaptive(anchors: DataFrame, coords: DataFrame, links: DataFrame) -> DataFrame:
+    """Exclusive links of the remaining anchors by the offsets of the links that were claimed."""
+    at = anchors.select(*KEYS, "row_id", "cls", "cx", "cy")
+    to = coords.select(*KEYS, C("row_id").alias("coord_id"), C("cx").alias("to_x"), C("cy").alias("to_y"))
+    own = links.filter(C("how") == "claim").join(at, [*KEYS, "row_id"]).join(to, [*KEYS, "coord_id"])
+    patterns = link_patterns(own.select(*KEYS, "cls", (C("to_x") - C("cx")).alias("off_x"), (C("to_y") - C("cy")).alias("off_y")))
+    open_ = at.filter(~C("cls").isin(*R.GKS, "sverbinder", "haltepunkt", "haltetafel", "weichen_block")).join(links.select(*KEYS, "row_id"), [*KEYS, "row_id"], "left_anti")
+    free = coords.join(links.select(*KEYS, C("coord_id").alias("row_id")).distinct(), [*KEYS, "row_id"], "left_anti")
+    pairs = adaptive_pairs(open_, free, patterns)
+    return _claim(pairs.select(*KEYS, "row_id", "coord_id", F.lit(0).alias("tier"), C("d").alias("s1"), F.lit(0.0).alias("s2"), F.lit(0.0).alias("s3")))
+
+
 # --- user symbols ------------------------------------------------------------------------------
 def link_symbols(df: DataFrame, coords: DataFrame, symbols: DataFrame, rotate: bool = True) -> DataFrame:
     """Nearest coordinate on an allowed side of a user symbol, in the symbol's own frame.

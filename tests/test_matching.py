@@ -41,3 +41,18 @@ def test_relation_search_spans_the_page(spark):
     df = spark.createDataFrame([(1, 1, 1, next(iter(R.RELATION)), 0.0, 0.0)], cols)
     coords = spark.createDataFrame([(1, 1, 2, "coordinate", 90_000.0, 0.0)], cols)
     assert [r.min_distance for r in spatial_checks.relation_issues(df, coords).collect()] == [90_000.0]
+
+
+def test_adaptive_links_come_after_the_claims(spark):
+    cols = "layout_id long, page int, row_id long, cls string, cx double, cy double, w double, h double, angle double, anchor_text string, coord_text string, x1 double, y1 double, x2 double, y2 double"
+
+    def box(i, cls, x, y):
+        return (1, 1, i, cls, x, y, 40.0, 30.0, 0.0, "A1", "1,0", x - 20, y - 15, x + 20, y + 15)
+
+    anchors = [box(i, "gm_block", 400.0 * i, 0.0) for i in range(1, 6)]
+    # four of them have a coordinate close below; the fifth's is where only the offsets of the others would look for it
+    marks = [box(100 + i, "coordinate", 400.0 * i + 2.0, 40.0) for i in range(1, 5)] + [box(105, "coordinate", 2000.0 + 120.0, 60.0)]
+    a, c = spark.createDataFrame(anchors, cols), spark.createDataFrame(marks, cols)
+    got = {r.row_id: (r.coord_id, r.how) for r in linking.assign_coordinates(a, c).collect()}
+    assert {i: got.get(i) for i in range(1, 5)} == {i: (100 + i, "claim") for i in range(1, 5)}
+    assert got[5] == (105, "adaptive")
