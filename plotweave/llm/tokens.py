@@ -18,12 +18,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotweave.llm.common import slices, table, texts
-from plotweave.session import cut
+from plotweave.llm.common import cut, slices, table, texts
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Pre-tokens in the broadcast table, and their longest length: at most 32,768 x 48 characters.
-TOP, TOP_CHARS = 32_768, 48
+#: Pre-tokens in the broadcast table, and their longest length: at most 262,144 x 32 characters.
+TOP, TOP_CHARS = 262_144, 32
 LIMIT = 512
 
 # fixed values: the tokenizer's split pattern and the one special string it recognises in texts
@@ -85,9 +84,9 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT, t
     vocabulary = cut(pretoken_pieces(rows, path))
     common = (
         vocabulary.filter(F.length("pretoken") <= TOP_CHARS).orderBy(F.desc("n"), "pretoken").limit(top)
-        .select("pretoken", "pieces").collect()
+        .select("pretoken", "pieces").toArrow()
     )
-    near = docs.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in common})
+    near = docs.sparkSession.sparkContext.broadcast(dict(zip(common["pretoken"].to_pylist(), common["pieces"].to_pylist(), strict=True)))
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = near.value
