@@ -18,9 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotweave.llm.common import slices, table, texts
+from plotweave.llm.common import cut, slices, table, texts
 from plotweave.operators.iterative import components
-from plotweave.session import cut
 
 SHINGLE, DISTANCE, BITS = 4, 4, 64
 #: Fingerprints in the sample that the trees are built from, and those aimed at in a shard.
@@ -211,3 +210,120 @@ def near_duplicates(docs: DataFrame, k: int = DISTANCE, words: int = SHINGLE) ->
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+# --- wide fingerprints, for a similarity instead of a distance --------------------------------------
+#: Bits of a wide fingerprint, bits of a band, and bands that are searched.
+WIDE, BAND, BANDS = 512, 12, 24
+#: Added to the expected distance at the similarity, for the scatter of fingerprints.
+SLACK = 6
+
+
+def distance_at(similarity: float, bits: int = WIDE) -> int:
+    """Expected differing bits of two texts of like length whose shingle sets have this Jaccard similarity."""
+    return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi) + SLACK
+
+
+def wide_simhash(text: str, words: int) -> bytes:
+    """``WIDE``-bit SimHash of the set of ``words``-word shingles (fewer words: the whole sequence; none: zeros)."""
+    parts = text.encode().lower().split()
+    if not parts:
+        return bytes(WIDE // 8)
+    h = np.array([xxhash.xxh3_64_intdigest(p) for p in parts], np.uint64)
+    n, size = max(1, len(h) - words + 1), min(words, len(h))
+    own = np.zeros(n, np.uint64)
+    for k in range(size):
+        own = (own ^ h[k:k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        own ^= own >> np.uint64(29)
+    own = np.unique(own)
+    count = np.zeros(WIDE, np.int64)
+    salts = (np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))[None, :]
+    for at in range(0, len(own), 1 << 14):
+        x = own[at:at + (1 << 14), None] ^ salts
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
+        x ^= x >> np.uint64(31)
+        count += np.unpackbits(x.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * count > len(own)).tobytes()
+
+
+def _band(sigs: np.ndarray, band: int) -> np.ndarray:
+    """Bits of one band of each fingerprint (rows of bytes) as numbers."""
+    bits = np.unpackbits(sigs, axis=1)[:, band * BAND:(band + 1) * BAND]
+    return bits.astype(np.uint64) @ (np.uint64(1) << np.arange(BAND, dtype=np.uint64))
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``doc_id, component_id`` of every row of ``docs``: groups of texts whose shingle sets are similar, joined by chains.
+
+    Wide fingerprints estimate the similarity within some hundredths. No tree can prune at such distances on all bits, so
+    trees divide by one band each, where similar texts often agree whole: at a similarity of 0.8 a pair misses all
+    ``BANDS`` bands once in forty, at 0.9 practically never. Shards compare all bits and return spanning forests; large
+    ones are cut into blocks that all meet. Nulls, repeats and empty tables as in ``near_duplicates``.
+    """
+    spark = docs.sparkSession
+    k = distance_at(similarity)
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in slices(batches, "text"):
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "sig": [wide_simhash(t, words) for t in pdf["text"]]})
+
+    prints = cut(texts(docs).mapInPandas(made, "doc_id long, sig binary").withColumn("id", F.xxhash64("sig")))
+    points = cut(prints.groupBy("id", "sig").agg(F.min("doc_id").alias("least")))
+    n = points.count()
+    sample = points.select("id", "sig").orderBy("id", "sig").limit(SAMPLE // 4).toArrow()["sig"].to_pylist()
+    drawn = _rows(sample)
+    shards = min(n / SHARD, len(sample) / 8)
+    forest = spark.sparkContext.broadcast([Tree(_band(drawn, i), (1 << BAND) - 1, 0, shards) for i in range(BANDS)])
+
+    def homes(sigs: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        for i, tree in enumerate(forest.value):
+            for shard, rows, _ in tree.visits(_band(sigs, i)):
+                yield i, shard, rows
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame([(i, s, len(r)) for i, s, r in homes(_rows(pdf["sig"]))], columns=["band", "shard", "n"])
+
+    sizes = points.select("sig").mapInPandas(counted, "band int, shard int, n long").groupBy("band", "shard").agg(F.sum("n").alias("n"))
+    large = {(r[0], r[1]): -(-r[2] // SIDE) for r in sizes.filter(F.col("n") > SIDE).collect()}  # at most all shards of all trees
+
+    def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ids = pdf["id"].to_numpy().astype(np.int64)
+            for band, shard, rows in homes(_rows(pdf["sig"])) if len(pdf) else ():
+                own = pdf.iloc[rows]
+                blocks = large.get((band, shard), 1)
+                mine = ids[rows].view(np.uint64) % np.uint64(blocks)
+                for other in range(blocks):
+                    lo, hi = np.minimum(mine, other), np.maximum(mine, other)
+                    yield own.assign(band=np.int32(band), shard=np.int32(shard), a=lo.astype(np.int32), b=hi.astype(np.int32))[["band", "shard", "a", "b", "id", "sig"]]
+
+    def joined(pdf: pd.DataFrame) -> pd.DataFrame:
+        words_ = _rows(pdf["sig"]).view(np.uint64)
+        ids = pdf["id"].to_numpy().astype(np.int64)
+
+        def near() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for at in range(0, len(ids), 128):
+                d = np.zeros((min(128, len(ids) - at), len(ids)), np.uint16)
+                for w in range(words_.shape[1]):
+                    d += np.bitwise_count(words_[at:at + 128, w][:, None] ^ words_[None, :, w])
+                i, j = np.nonzero(d <= k)
+                yield i + at, j
+
+        label = _forest(ids, near())
+        far = label != np.arange(len(ids))
+        return pd.DataFrame({"src": ids[label[far]], "dst": ids[far]})
+
+    rows = points.select("id", "sig").mapInPandas(routed, "band int, shard int, a int, b int, id long, sig binary")
+    edges = cut(rows.groupBy("band", "shard", "a", "b").applyInPandas(joined, "src long, dst long").distinct())
+    linked = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    parts = components(linked, edges, "id")
+    labelled = points.select("id", "least").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
+    found = labelled.select("id", "component").join(least, "component").select("id", "component_id").distinct()
+    return prints.join(found, "id").select("doc_id", "component_id")
+
+
+def _rows(sigs) -> np.ndarray:
+    return np.frombuffer(b"".join(map(bytes, sigs)), np.uint8).reshape(-1, WIDE // 8)

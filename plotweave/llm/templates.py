@@ -20,9 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotweave.llm.common import slices, table
+from plotweave.llm.common import cut, slices, table
 from plotweave.llm.routing import bit_table, numbered, passes
-from plotweave.session import cut
 
 DEPTH, SUPPORT, CONSTANT = 3, 10, 0.5
 FIELD = "<*>"
@@ -31,7 +30,7 @@ variable = re.compile(r"\d|://|@").search
 
 def masked(line: str) -> list[str]:
     """Tokens of a line with evident fields replaced."""
-    return [FIELD if variable(t) else t for t in line.split()]
+    return [FIELD if variable(t) else t for t in line.split()] if variable(line) else line.split()
 
 
 def node(tokens: list[str], depth: int) -> int:
