@@ -30,6 +30,13 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+def drawn(df: DataFrame, n: int, most: int, *key: str) -> DataFrame:
+    """About ``most`` of the ``n`` rows, chosen by a hash of ``key``; all if there are fewer."""
+    if n <= most:
+        return df
+    return df.filter(F.pmod(F.xxhash64(*key, F.lit(7)), F.lit(1 << 30)) < int(most / n * (1 << 30)))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Rows of ``df`` as a table in the shared folder. The shuffle files behind it go as soon as it is written."""
     spark = df.sparkSession

@@ -18,11 +18,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotweave.llm.common import cut, slices, table, texts
+from plotweave.llm.common import cut, drawn, slices, table, texts
 from plotweave.operators.iterative import components
 
 SHINGLE, DISTANCE, BITS = 4, 4, 64
-#: Fingerprints in the sample that the trees are built from, and those aimed at in a shard.
+#: Fingerprints in the sample that the trees are built from (in the mean), and those aimed at in a shard.
 SAMPLE, SHARD = 65_536, 512
 #: Rows of either side of a shard in one task; larger shards are cut into blocks that all meet.
 SIDE = 4096
@@ -153,7 +153,7 @@ def links(points: DataFrame, k: int = DISTANCE) -> DataFrame:
     """``src, dst``: links that connect the same fingerprints as all pairs within ``k`` bits. ``points`` has distinct ``fp``."""
     spark = points.sparkSession
     n = points.count()
-    sample = points.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy().astype(np.int64).view(np.uint64)
+    sample = drawn(points, n, SAMPLE, "fp").select("fp").toArrow()["fp"].to_numpy().view(np.uint64)
     shards = min(n / SHARD, len(sample) / 8)
     forest = spark.sparkContext.broadcast([Tree(sample, mask, radius, shards) for mask, radius in bands(k)])
 
@@ -161,10 +161,15 @@ def links(points: DataFrame, k: int = DISTANCE) -> DataFrame:
         for pdf in batches:
             fps = pdf["fp"].to_numpy().astype(np.int64)
             for band, tree in enumerate(forest.value):
-                for shard, rows, home in tree.visits(fps.view(np.uint64)):
-                    yield pd.DataFrame({"band": np.int32(band), "shard": np.int32(shard), "fp": fps[rows], "home": home})
-
-    rows = cut(points.select("fp").mapInPandas(routed, "band int, shard int, fp long, home boolean"))
+                found = list(tree.visits(fps.view(np.uint64)))
+                if found:
+                    shard = np.repeat([s for s, _, _ in found], [len(r) for _, r, _ in found]).astype(np.int32)
+                    rows = np.concatenate([r for _, r, _ in found])
+                    yield pd.DataFrame({"band": np.int32(band), "shard": shard, "fp": fps[rows], "home": np.concatenate([h for _, _, h in found])})
+
+    # few bytes turn into much work, so a handful of files must not become a handful of tasks
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut(points.select("fp").repartition(spread, "fp").mapInPandas(routed, "band int, shard int, fp long, home boolean"))
     side = F.lit(SIDE)
     sizes = rows.groupBy("band", "shard").agg(F.count(F.lit(1)).alias("_all"), F.sum(F.col("home").cast("long")).alias("_home"))
     sizes = sizes.filter("_all > 1 AND _home > 0").select(
@@ -270,34 +275,41 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     prints = cut(texts(docs).mapInPandas(made, "doc_id long, sig binary").withColumn("id", F.xxhash64("sig")))
     points = cut(prints.groupBy("id", "sig").agg(F.min("doc_id").alias("least")))
     n = points.count()
-    sample = points.select("id", "sig").orderBy("id", "sig").limit(SAMPLE // 4).toArrow()["sig"].to_pylist()
-    drawn = _rows(sample)
+    sample = drawn(points, n, SAMPLE // 4, "id").select("sig").toArrow()["sig"].to_pylist()
+    known = _rows(sample)
     shards = min(n / SHARD, len(sample) / 8)
-    forest = spark.sparkContext.broadcast([Tree(_band(drawn, i), (1 << BAND) - 1, 0, shards) for i in range(BANDS)])
+    forest = spark.sparkContext.broadcast([Tree(_band(known, i), (1 << BAND) - 1, 0, shards) for i in range(BANDS)])
 
-    def homes(sigs: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    def homes(sigs: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Shard of each fingerprint, for each band."""
         for i, tree in enumerate(forest.value):
+            at = np.zeros(len(sigs), np.int32)
             for shard, rows, _ in tree.visits(_band(sigs, i)):
-                yield i, shard, rows
+                at[rows] = shard
+            yield i, at
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if len(pdf):
-                yield pd.DataFrame([(i, s, len(r)) for i, s, r in homes(_rows(pdf["sig"]))], columns=["band", "shard", "n"])
+            for i, at in homes(_rows(pdf["sig"])):
+                shard, size = np.unique(at, return_counts=True)
+                yield pd.DataFrame({"band": np.int32(i), "shard": shard, "n": size})
 
-    sizes = points.select("sig").mapInPandas(counted, "band int, shard int, n long").groupBy("band", "shard").agg(F.sum("n").alias("n"))
+    spread = points.select("id", "sig").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
+    sizes = spread.mapInPandas(counted, "band int, shard int, n long").groupBy("band", "shard").agg(F.sum("n").alias("n"))
     large = {(r[0], r[1]): -(-r[2] // SIDE) for r in sizes.filter(F.col("n") > SIDE).collect()}  # at most all shards of all trees
 
     def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ids = pdf["id"].to_numpy().astype(np.int64)
-            for band, shard, rows in homes(_rows(pdf["sig"])) if len(pdf) else ():
-                own = pdf.iloc[rows]
-                blocks = large.get((band, shard), 1)
-                mine = ids[rows].view(np.uint64) % np.uint64(blocks)
-                for other in range(blocks):
-                    lo, hi = np.minimum(mine, other), np.maximum(mine, other)
-                    yield own.assign(band=np.int32(band), shard=np.int32(shard), a=lo.astype(np.int32), b=hi.astype(np.int32))[["band", "shard", "a", "b", "id", "sig"]]
+            for band, shard in homes(_rows(pdf["sig"])):
+                blocks = np.array([large.get((band, s), 1) for s in shard.tolist()])
+                row = np.repeat(np.arange(len(ids)), blocks)
+                other = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                mine = (ids.view(np.uint64) % blocks.astype(np.uint64)).astype(np.int64)[row]
+                yield pd.DataFrame({
+                    "band": np.int32(band), "shard": shard[row], "a": np.minimum(mine, other).astype(np.int32),
+                    "b": np.maximum(mine, other).astype(np.int32), "id": ids[row], "sig": pdf["sig"].to_numpy()[row],
+                })
 
     def joined(pdf: pd.DataFrame) -> pd.DataFrame:
         words_ = _rows(pdf["sig"]).view(np.uint64)
@@ -315,7 +327,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
         far = label != np.arange(len(ids))
         return pd.DataFrame({"src": ids[label[far]], "dst": ids[far]})
 
-    rows = points.select("id", "sig").mapInPandas(routed, "band int, shard int, a int, b int, id long, sig binary")
+    rows = spread.mapInPandas(routed, "band int, shard int, a int, b int, id long, sig binary")
     edges = cut(rows.groupBy("band", "shard", "a", "b").applyInPandas(joined, "src long, dst long").distinct())
     linked = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
     parts = components(linked, edges, "id")
