@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from plotweave.llm.common import cut, slices, table
 from plotweave.llm.routing import bit_table, numbered, passes
 
-DEPTH, SUPPORT, CONSTANT = 3, 10, 0.5
+DEPTH, SUPPORT, CONSTANT = 4, 10, 0.5
 FIELD = "<*>"
 variable = re.compile(r"\d|://|@").search
 
@@ -61,24 +61,27 @@ def dropped_lines(docs: DataFrame, depth: int = DEPTH, support: int = SUPPORT, c
 
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in slices(batches, "text"):
-            out = [(d, r, *x[:3], " ".join(x[3])) for d, r, text in zip(pdf["d"], pdf["r"], pdf["text"], strict=True) for x in stamped(text, depth)]
-            made = pd.DataFrame(out, columns=["d", "r", "line", "node", "stamp", "tokens"])
+            out = [(d, r, *x[:3], xxhash.xxh3_64_intdigest(own := " ".join(x[3])) - 2**63, own) for d, r, text in zip(pdf["d"], pdf["r"], pdf["text"], strict=True) for x in stamped(text, depth)]
+            made = pd.DataFrame(out, columns=["d", "r", "line", "node", "stamp", "kind", "tokens"])
             yield made[passes(bits.value, made["node"].to_numpy().astype("int64").view("uint64"))]
 
-    schema = "d long, r long, line int, node long, stamp long, tokens string"
+    schema = "d long, r long, line int, node long, stamp long, kind long, tokens string"
     found = cut(rows.mapInPandas(lines, schema))
-    kinds = cut(found.groupBy("node", "tokens").agg(F.countDistinct("stamp").alias("n")))
-    fields = kinds.select("node", "tokens", "n", F.posexplode(F.split("tokens", " ")).alias("at", "token"))
+    # from here on a line is the hash of its tokens, its kind; the tokens themselves move once for each kind
+    support_of = found.groupBy("node", "kind").agg(F.countDistinct("stamp").alias("n"))
+    listed = found.groupBy("node", "kind").agg(F.first("tokens").alias("tokens"))
+    kinds = support_of.join(listed, ["node", "kind"])
+    fields = cut(kinds.select("node", "kind", "n", F.posexplode(F.split("tokens", " ")).alias("at", "token")))
     common = fields.filter(F.col("token") != FIELD).groupBy("node", "at", "token").agg(F.sum("n").alias("s")).filter(F.col("s") >= support)
     marked = fields.join(common.select("node", "at", "token", F.lit(1).alias("same")), ["node", "at", "token"], "left")
-    shown = F.struct("at", F.when(F.col("same") == 1, F.col("token")).otherwise(F.lit(FIELD)).alias("t"))
-    template = marked.groupBy("node", "tokens").agg(
+    shown = F.struct("at", F.when(F.col("same") == 1, F.xxhash64("token")).alias("t"))
+    template = marked.groupBy("node", "kind").agg(
         F.max("n").alias("n"), F.sort_array(F.collect_list(shown)).alias("parts"), F.avg(F.coalesce("same", F.lit(0))).alias("share")
-    ).select("node", "tokens", "n", "share", F.array_join("parts.t", " ").alias("template"))
+    ).select("node", "kind", "n", "share", F.xxhash64("parts").alias("template"))
     template = cut(template.filter(F.col("share") >= constant))
     recurring = template.groupBy("node", "template").agg(F.sum("n").alias("s")).filter(F.col("s") >= support)
-    gone = template.join(recurring, ["node", "template"]).select("node", "tokens")
-    return found.join(gone, ["node", "tokens"]).groupBy("d", "r").agg(F.collect_set("line").alias("lines"))
+    gone = template.join(recurring, ["node", "template"]).select("node", "kind")
+    return cut(found.join(gone, ["node", "kind"]).groupBy("d", "r").agg(F.collect_set("line").alias("lines")))
 
 
 def drop_lines(docs: DataFrame, depth: int = DEPTH, support: int = SUPPORT, constant: float = CONSTANT) -> DataFrame:
