@@ -82,10 +82,15 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT, t
     path = path or public_tokenizers.path(TOKENIZER)
     rows = texts(docs)
     vocabulary = cut(pretoken_pieces(rows, path))
-    common = (
-        vocabulary.filter(F.length("pretoken") <= TOP_CHARS).orderBy(F.desc("n"), "pretoken").limit(top)
-        .select("pretoken", "pieces").toArrow()
-    )
+    # the levels of frequency, an eighth of a power of two each, that have no more than ``top`` pre-tokens together
+    short = vocabulary.filter(F.length("pretoken") <= TOP_CHARS).withColumn("level", F.floor(8 * F.log2("n")))
+    least, total = 1 << 30, 0
+    for level, size in sorted(((r[0], r[1]) for r in short.groupBy("level").count().collect()), reverse=True):
+        total += size
+        if total > top:
+            break
+        least = level
+    common = short.filter(F.col("level") >= least).select("pretoken", "pieces").toArrow()
     near = docs.sparkSession.sparkContext.broadcast(dict(zip(common["pretoken"].to_pylist(), common["pieces"].to_pylist(), strict=True)))
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -8,8 +8,8 @@ spelling that one class favours shows even in words never seen. A document's evi
 log-likelihood ratio (mean over words) and the strongest word's.
 
 The model sent to the tasks is a table of ``SLOTS`` ratios for spellings and ``SLOTS`` for contexts, each slot with a tag
-of its most frequent owner, so its size does not grow with the corpus. A logistic curve over the evidence is fitted on at
-most ``CALIBRATION`` labelled rows of one half of the training documents, with ratios from the other half.
+of its most frequent owner, so its size does not grow with the corpus. A logistic curve over the evidence is fitted on about
+``CALIBRATION`` labelled rows of one half of the training documents, with ratios from the other half.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotweave.llm.common import cut, slices, table, texts
+from plotweave.llm.common import cut, drawn, slices, table, texts
 
 ORDER, SHORT, DISCOUNT = 6, 2, 0.75
 SLOTS, CALIBRATION = 1 << 20, 20_000
@@ -202,8 +202,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, known: DataFrame | None =
 
     found = cut(evidence(rows))
     learnt = found if known is None else cut(evidence(texts(known).withColumn("held_out", held_out())))
-    chosen = marked.filter(F.col("half") == 1).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(CALIBRATION)
-    got = learnt.join(chosen, "doc_id").select("toxic", *[f"a_{f}" for f in FEATURES]).limit(2 * CALIBRATION).toArrow().to_pandas()
+    other = marked.filter(F.col("half") == 1)
+    chosen = drawn(other, other.count(), CALIBRATION, "doc_id")
+    got = learnt.join(chosen, "doc_id").select("toxic", *[f"a_{f}" for f in FEATURES]).toArrow().to_pandas()
     if got["toxic"].nunique() < 2:
         score = F.lit(0.0)
     else:
