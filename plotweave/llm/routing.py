@@ -261,26 +261,41 @@ def split(unique: DataFrame, route: Route, block: int) -> DataFrame:
     )
 
 
-def resolve(docs: DataFrame, route: Route, repeated: Column, alone: Column, index: Callable[[pd.DataFrame], pd.DataFrame], shard_units: int) -> tuple[DataFrame, DataFrame]:
+def joined_runs(spans: Column) -> Column:
+    """Spans that touch and have one smallest document as one."""
+
+    def step(done: Column, s: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        touch = (F.size(done) > 0) & (last["lo"] == s["lo"]) & (s["first"] <= last["end"])
+        longer = F.struct(last["first"].alias("first"), F.greatest(last["end"], s["end"]).alias("end"), s["lo"].alias("lo"))
+        return F.when(touch, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(s)))
+
+    return F.aggregate(F.array_sort(spans), F.array().cast("array<struct<first:int,end:int,lo:bigint>>"), step)
+
+
+def resolve(docs: DataFrame, route: Route, repeated: Column, alone: Column, index: Callable[[pd.DataFrame], pd.DataFrame], shard_units: int, ordered: bool) -> tuple[DataFrame, DataFrame]:
     """Places of all pieces that may be repeated (see ``places``), and ``h, seg, spans`` of those with a repeated window;
     spans are (first, last + 1, lo) of windows.
 
     A group that holds one piece only needs no index: if ``alone`` holds over its ``lo`` and ``k``, all its windows are
     repeated. The others' contents are fetched. ``index`` gets the pieces of whole groups, about ``shard_units`` units of
-    them, and returns ``h, seg, first, end, lo``.
+    them, and returns ``h, seg, first, end, lo``. Unless ``ordered``, nobody asks for the smallest document: ``lo`` is 0.
     """
     rows = numbered(docs)
+    least = F.col("lo") if ordered else F.lit(0).cast("long")
     found = cut(places(rows, route, cut(repeated_anchors(rows, route, repeated))))
     groups = cut(found.groupBy("h").agg(
         F.min("seg").alias("seg"), F.max("seg").alias("other"), F.min("d").alias("lo"), F.count(F.lit(1)).alias("k"), F.max("units").alias("units")
     ))
-    whole = F.struct(F.lit(0).alias("first"), (F.col("units") - route.length + 1).cast("int").alias("end"), "lo")
+    whole = F.struct(F.lit(0).alias("first"), (F.col("units") - route.length + 1).cast("int").alias("end"), least.alias("lo"))
     single = groups.filter((F.col("seg") == F.col("other")) & alone).select("h", "seg", F.array(whole).alias("spans"))
     several = groups.filter("seg <> other").select("h")
     unique = cut(merged(pieces(rows, route, several), "d", F.col("k")).join(several, "h", "left_semi"))
     levels, parents = [[single]], []
     for block in (*route.blocks, None):
-        sized = unique.join(unique.groupBy("h").agg(F.count(F.lit(1)).alias("nd")), "h")
+        # written first, so that the join can split a hot anchor's partition
+        sizes = cut(unique.groupBy("h").agg(F.count(F.lit(1)).alias("nd")))
+        sized = unique.join(sizes, "h")
         if parents:
             levels[-1].append(sized.filter((F.col("nd") == 1) & alone).select("h", "seg", F.array(whole).alias("spans")))
         few = (F.col("nd") > 1) & (F.col("nd") <= route.hot) if block else F.col("nd") > 1
@@ -289,7 +304,7 @@ def resolve(docs: DataFrame, route: Route, repeated: Column, alone: Column, inde
         spans = grouped.groupBy(F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard")).applyInPandas(
             lambda pdf: index(pdf), "h long, seg long, first int, end int, lo long"
         )
-        levels[-1].append(cut(spans.groupBy("h", "seg").agg(F.collect_list(F.struct("first", "end", "lo")).alias("spans"))))
+        levels[-1].append(cut(spans.groupBy("h", "seg").agg(joined_runs(F.collect_list(F.struct("first", "end", least.alias("lo")))).alias("spans"))))
         hot = sized.filter(F.col("nd") > route.hot)
         if not block or hot.isEmpty():
             break
@@ -301,7 +316,7 @@ def resolve(docs: DataFrame, route: Route, repeated: Column, alone: Column, inde
     for own, links in zip(reversed(levels[:-1]), reversed(parents), strict=True):
         moved = F.transform("spans", lambda s: F.struct((s["first"] + F.col("at")).alias("first"), (s["end"] + F.col("at")).alias("end"), s["lo"].alias("lo")))
         up = links.join(both, ["h", "seg"]).select(F.col("parent_h").alias("h"), F.col("parent_seg").alias("seg"), F.explode(moved).alias("s"))
-        both = reduce(DataFrame.union, [*own, up.groupBy("h", "seg").agg(F.collect_list("s").alias("spans"))])
+        both = reduce(DataFrame.union, [*own, up.groupBy("h", "seg").agg(joined_runs(F.collect_list("s")).alias("spans"))])
     return found, both
 
 

@@ -119,7 +119,7 @@ def matches(pdf: pd.DataFrame, window: int = WINDOW) -> pd.DataFrame:
 def repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = 256) -> DataFrame:
     """``d, r, ranges``: word ranges of each document covered by windows that start in a document with a smaller id."""
     route = Route(Words, window, min(gram, window), hot)
-    found, spans = resolve(docs, route, F.col("lo") < F.col("hi"), F.lit(True), lambda pdf: matches(pdf, window), SHARD_WORDS)
+    found, spans = resolve(docs, route, F.col("lo") < F.col("hi"), F.lit(True), lambda pdf: matches(pdf, window), SHARD_WORDS, ordered=True)
     return covered(found, spans, route, only_earlier=True)
 
 

@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotweave.llm.common import table
-from plotweave.llm.routing import Bytes, Route, byte_grams, covered, mask, prepared, resolve, with_ranges
+from plotweave.llm.routing import Bytes, Route, byte_grams, covered, mask, resolve, with_ranges
 
-LENGTH, GRAM = 400, 16
+LENGTH, GRAM = 400, 64
 SHARD_BYTES, CHUNK_BYTES = 1_000_000, 300_000
 
 
@@ -31,13 +31,13 @@ def stride_of(length: int, most: int = 40) -> int:
 
 class Transform:
     """Sorted suffixes of a chunk. ``symbol``: first symbol; ``after``: row of the suffix one symbol further, -1 at the
-    end of a piece; ``fresh``: row does not share ``depth`` symbols with the row before; ``where``: number of the
+    end of a piece; ``interval``: one number for all rows that share ``depth`` symbols; ``where``: number of the
     suffix's place. Rows with one first symbol are in the order of their ``after``, as in every such transform."""
 
-    __slots__ = ("symbol", "after", "fresh", "where")
+    __slots__ = ("symbol", "after", "interval", "where")
 
-    def __init__(self, symbol, after, fresh, where):
-        self.symbol, self.after, self.fresh, self.where = symbol, after, fresh, where
+    def __init__(self, symbol, after, interval, where):
+        self.symbol, self.after, self.interval, self.where = symbol, after, interval, where
 
     @classmethod
     def of(cls, symbol: np.ndarray, following: np.ndarray, where: np.ndarray, depth: int) -> Transform:
@@ -62,13 +62,11 @@ class Transform:
         order = np.argsort(rank, kind="stable")
         row = np.empty(len(order), np.int64)
         row[order] = np.arange(len(order))
-        own = classes[order]
-        fresh = np.concatenate([[True], own[1:] != own[:-1]])
-        return cls(symbol[order], np.where(following[order] >= 0, row[following[order]], -1), fresh, where[order])
+        return cls(symbol[order], np.where(following[order] >= 0, row[following[order]], -1), classes[order], where[order])
 
 
-def merge(a: Transform, b: Transform, depth: int) -> Transform:
-    """The transform of both chunks."""
+def merge(a: Transform, b: Transform, depth: int, rounds: int) -> Transform:
+    """The transform of both chunks. No suffix has more than ``rounds`` symbols; what is still equal then ends alike."""
     n = len(b.symbol)
     start = np.flatnonzero(np.concatenate([[True], b.symbol[1:] != b.symbol[:-1]]))
     block = np.searchsorted(b.symbol[start], a.symbol)  # among b's first symbols
@@ -76,9 +74,8 @@ def merge(a: Transform, b: Transform, depth: int) -> Transform:
     b_block = np.repeat(np.arange(len(start)), np.diff(np.append(start, n)))
     key = b_block * (n + 2) + b.after + 1  # ascends with b's rows
     lo, hi = np.zeros(len(a.symbol), np.int64), np.full(len(a.symbol), n)
-    live, partner, t = np.arange(len(a.symbol)), np.zeros(len(a.symbol), bool), 0
-    while len(live):
-        t += 1
+    live, interval = np.arange(len(a.symbol)), a.interval + int(b.interval.max(initial=0)) + 1
+    for t in range(1, max(depth, rounds) + 2):
         nxt, base = a.after[live], block[live] * (n + 2)
         ended = nxt < 0
         left = np.where(ended, 0, lo[nxt] + 1)
@@ -89,22 +86,19 @@ def merge(a: Transform, b: Transform, depth: int) -> Transform:
         new_hi = np.where(known[live], new_hi, new_lo)
         lo[live], hi[live] = new_lo, new_hi
         if t == depth:
-            partner[live] = new_hi > new_lo
+            shared = new_hi > new_lo
+            interval[live[shared]] = b.interval[new_lo[shared]]
         # an ended suffix can't be told further apart
         live = live[(new_hi > new_lo) & ~(ended & (t > 1))]
-        if t > depth and not len(live):
+        if not len(live):
             break
-        if t > 64 * depth + n:
-            raise AssertionError("pieces are longer than they may be")
     a_row = np.arange(len(a.symbol)) + lo
     taken = np.zeros(len(a.symbol) + n, bool)
     taken[a_row] = True
     b_row = np.flatnonzero(~taken)
-    out = [np.empty(len(taken), x.dtype) for x in (a.symbol, a.after, a.fresh, a.where)]
-    b_fresh = b.fresh.copy()
-    b_fresh[lo[partner]] = False  # rows of a stand before their partners
-    for target, x, y in zip(out, (a.symbol, np.where(a.after >= 0, a_row[a.after], -1), a.fresh, a.where),
-                            (b.symbol, np.where(b.after >= 0, b_row[b.after], -1), b_fresh, b.where), strict=True):
+    out = [np.empty(len(taken), x.dtype) for x in (a.symbol, a.after, interval, a.where)]
+    for target, x, y in zip(out, (a.symbol, np.where(a.after >= 0, a_row[a.after], -1), interval, a.where),
+                            (b.symbol, np.where(b.after >= 0, b_row[b.after], -1), b.interval, b.where), strict=True):
         target[a_row], target[b_row] = x, y
     return Transform(*out)
 
@@ -113,6 +107,7 @@ def repeats(contents: list[bytes], weight: np.ndarray, length: int, chunk: int =
     """Which places of the joined contents begin a passage of ``length`` bytes that is at two places or more."""
     stride = stride_of(length)
     depth = length // stride
+    rounds = max(map(len, contents), default=0) // stride + 1
     size = np.array([len(c) for c in contents])
     base = np.cumsum(size) - size
     parts, at = [], 0
@@ -130,15 +125,14 @@ def repeats(contents: list[bytes], weight: np.ndarray, length: int, chunk: int =
             parts.append(Transform.of(byte_grams(raw, stride)[place], following, place + base[at], depth))
         at = to
     while len(parts) > 1:
-        parts = [merge(parts[i], parts[i + 1], depth) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+        parts = [merge(parts[i], parts[i + 1], depth, rounds) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
     found = np.zeros(int(size.sum()), bool)
     if parts:
         whole = parts[0]
-        interval = np.cumsum(whole.fresh) - 1
         owner = np.searchsorted(base, whole.where, side="right") - 1
         long = base[owner] + size[owner] - whole.where >= length
-        count = np.bincount(interval[long], weights=weight[owner[long]], minlength=interval[-1] + 1)
-        found[whole.where] = long & (count[interval] >= 2)
+        count = np.bincount(whole.interval[long], weights=weight[owner[long]], minlength=int(whole.interval.max()) + 1)
+        found[whole.where] = long & (count[whole.interval] >= 2)
     return found
 
 
@@ -158,8 +152,7 @@ def matches(pdf: pd.DataFrame, length: int = LENGTH) -> pd.DataFrame:
 def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = 256) -> DataFrame:
     """``d, r, ranges``: byte ranges of each document covered by passages of ``length`` bytes that also start elsewhere."""
     route = Route(Bytes, length, min(gram, length), hot, blocks=(max(1, length // 12), 1))
-    found = prepared(docs.sparkSession, docs, route, F.col("k") > 1)
-    spans = resolve(found, route, F.col("k") > 1, lambda pdf: matches(pdf, length), SHARD_BYTES)
+    found, spans = resolve(docs, route, F.col("k") > 1, F.col("k") > 1, lambda pdf: matches(pdf, length), SHARD_BYTES, ordered=False)
     return covered(found, spans, route, only_earlier=False)
 
 
