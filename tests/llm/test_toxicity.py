@@ -67,3 +67,68 @@ def test_no_classes_no_rows(spark):
     assert {r.score for r in scored(spark, rows, [])} == {0.0}
     assert {r.score for r in scored(spark, rows, [(i, 0) for i, _ in labels])} == {0.0}
     assert X.score_toxicity(spark.createDataFrame([], DOCS), spark.createDataFrame(labels, "doc_id long, toxic int")).count() == 0
+
+
+def test_scores_equal_whole_count_tables(spark, monkeypatch):
+    """Every spelling counts, however rare, whether its word is looked up or joined."""
+    import re
+    from collections import Counter, defaultdict
+
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randint(3, 9)))
+    rows = [(i, " ".join([word() for _ in range(30)] + ["zug" + word()] * (i % 4 == 0) + ["the"] * (i % 3))) for i in range(600)]
+    labels = {i: int(i % 4 == 0) for i, _ in rows}
+    monkeypatch.setattr(X, "TOP", 300, raising=False)
+    got = {r.doc_id: r.score for r in scored(spark, rows, list(labels.items()))}
+    ids = spark.createDataFrame([(i,) for i in labels], "doc_id long")
+    half = {r[0]: r[1] for r in ids.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(2))).collect()}
+    learnt = [i for i in labels if zlib.crc32(str(i).encode()) % 3 != 1]
+
+    def spell(w):
+        w = "\x02" + w + "\x03"
+        return [(w[max(0, j - X.ORDER + 1):j], w[max(0, j - X.SHORT):j], w[j]) for j in range(1, len(w))]
+
+    def model(train):
+        count, d = defaultdict(lambda: [0, 0]), X.DISCOUNT
+        for i in train:
+            for w in re.findall(r"[^\W_]+", dict(rows)[i].lower()):
+                for k in spell(w):
+                    count[k][labels[i]] += 1
+        total, kinds, pair, short = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0]), Counter(), defaultdict(set)
+        alone, weight = Counter(), Counter()
+        for (x, s, c), n in count.items():
+            for k in (0, 1):
+                total[x][k] += n[k]
+                kinds[x][k] += n[k] > 0
+            pair[s, c] += 1
+            short[s].add(c)
+            weight[s] += 1
+            alone[c] += 1
+        all_ = sum(alone.values())
+
+        def ratio(w):
+            out = 0.0
+            for x, s, c in spell(w):
+                if x not in total:
+                    continue
+                rest = [d * kinds[x][k] / total[x][k] if total[x][k] else 1.0 for k in (0, 1)]
+                p = rest
+                if (x, s, c) in count:
+                    shared = (pair[s, c] - d + d * len(short[s]) * alone[c] / all_) / weight[s]
+                    p = [(max(count[x, s, c][k] - d, 0) / total[x][k] if total[x][k] else 0.0) + rest[k] * shared for k in (0, 1)]
+                out += np.log(p[1]) - np.log(p[0])
+            return out
+
+        return ratio
+
+    def features(ratio, i):
+        r = np.array([ratio(w) for w in re.findall(r"[^\W_]+", dict(rows)[i].lower())])
+        return [10 * np.clip(r.mean(), -1, 1), np.clip(r.max(), -2, 12) / 4, np.log1p(len(r)) / 4, 10 * np.clip(np.maximum(r - 2, 0).mean(), 0, 1)]
+
+    a, b = model([i for i in learnt if not half[i]]), model(learnt)
+    other = [i for i in learnt if half[i]]
+    w = X.logistic(np.array([features(a, i) for i in other]), np.array([float(labels[i]) for i in other]))
+    want = {i: 1 / (1 + np.exp(-(np.dot(w[:-1], features(b, i)) + w[-1]))) for i in labels}
+    assert max(abs(got[i] - want[i]) for i in labels) < 1e-6
