@@ -1,10 +1,10 @@
 """Benchmark decontamination: q-gram counting in diagonal bands, then banded alignment.
 
-An item is read as windows of ``WINDOW`` characters (a shorter one as a whole), half a window apart. A document region
+An item is read as windows of ``WINDOW`` characters (a shorter one as a whole) from every place on. A document region
 within ``e`` edits of a window of n characters shares at least n + 1 - q(e + 1) of its q-grams, all on diagonals at
-most ``e`` apart. Diagonals (place in the document minus place in the window) are counted in bands twice the step
-wide, which overlap by a step of more than ``e``, so one band holds them all. Bands with enough shared q-grams are
-verified by an alignment confined to the band's diagonals.
+most ``e`` apart. Diagonals (place in the document minus place in the item) are counted in bands twice the step
+wide, which overlap by a step of more than ``e``, so one band holds them all. In bands with enough shared q-grams, the
+windows that hold enough of them are verified together, by alignments confined to the band's diagonals.
 
 Items are taken in blocks of bounded size; a block's q-gram table is sent to all tasks and the documents stream by.
 """
@@ -57,105 +57,132 @@ def grams(a: np.ndarray, q: int) -> np.ndarray:
 
 
 class Items:
-    """Windows of a block of items, and where each q-gram is in them."""
+    """Items of a block, and where each q-gram is in them."""
 
     def __init__(self, ids: list[int], item_texts: list[str], window: int = WINDOW, q: int = Q, per_edit: int = CHARS_PER_EDIT):
-        self.q, self.windows, keys, which, place = q, [], [], [], []
+        self.q, self.window, self.items, keys, which, place = q, window, [], [], [], []
         for item, text in zip(ids, item_texts, strict=True):
             a = characters(text)
             if len(a) < q:
                 continue
-            last = max(0, len(a) - window)
-            for at in sorted({*range(0, last, max(1, window // 2)), last}):
-                part = a[at:at + window]
-                # as many edits as leave at least one shared q-gram to ask for
-                edits = max(0, min(len(part) // per_edit, (len(part) + 1) // q - 1))
-                g = grams(part, q)
-                keys.append(g)
-                which.append(np.full(len(g), len(self.windows)))
-                place.append(np.arange(len(g)))
-                self.windows.append((item, at, part, edits, len(part) + 1 - q * (edits + 1)))
-        if self.windows:
+            n = min(len(a), max(window, q))
+            # as many edits as leave at least one shared q-gram to ask for
+            edits = max(0, min(n // per_edit, (n + 1) // q - 1))
+            g = grams(a, q)
+            keys.append(g)
+            which.append(np.full(len(g), len(self.items)))
+            place.append(np.arange(len(g)))
+            self.items.append((item, a, n, edits, max(1, n + 1 - q * (edits + 1))))
+        if self.items:
             keys, which, place = np.concatenate(keys), np.concatenate(which), np.concatenate(place)
             order = np.argsort(keys, kind="stable")
             self.keys, first = np.unique(keys[order], return_index=True)
             self.first = np.append(first, len(order))
             self.which, self.place = which[order], place[order]
-            self.need = np.array([max(1, w[4]) for w in self.windows])
-            self.step = max(w[3] for w in self.windows) + 1
+            self.need = np.array([w[4] for w in self.items])
+            self.step = max(w[3] for w in self.items) + 1
             self.filter = np.zeros(1 << 22, bool)
             self.filter[self.keys >> np.uint64(42)] = True
 
-    def bands(self, a: np.ndarray) -> list[tuple[int, int]]:
-        """(window, first diagonal) of the bands of a text that hold enough shared q-grams."""
+    def bands(self, a: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(item, first diagonal, places of windows) where windows of an item share enough q-grams with a text."""
         g = grams(a, self.q)
         at = np.flatnonzero(self.filter[g >> np.uint64(42)])
         if not len(at):
-            return []
+            return
         key = np.minimum(np.searchsorted(self.keys, g[at]), len(self.keys) - 1)
         same = self.keys[key] == g[at]
         at, key = at[same], key[same]
         times = self.first[key + 1] - self.first[key]
         entry = np.repeat(self.first[key] - np.cumsum(times) + times, times) + np.arange(int(times.sum()))
-        window, diagonal = self.which[entry], np.repeat(at, times) - self.place[entry] + (1 << 20)
-        low = diagonal // self.step
-        code = np.concatenate([window << 44 | low, window << 44 | (low - 1)])  # the bands that begin at low and at low - 1
-        found, n = np.unique(code, return_counts=True)
+        item, place = self.which[entry], self.place[entry]
+        low = (np.repeat(at, times) - place + (1 << 40)) // self.step
+        code = np.concatenate([item << 44 | low, item << 44 | (low - 1)])  # the bands that begin at low and at low - 1
+        order = np.argsort(code, kind="stable")
+        found, start, n = np.unique(code[order], return_index=True, return_counts=True)
         enough = n >= self.need[found >> 44]
-        return [(int(c >> 44), int((c & ((1 << 44) - 1)) * self.step - (1 << 20))) for c in found[enough]]
+        for c, k, size in zip(found[enough].tolist(), start[enough], n[enough], strict=True):
+            which = c >> 44
+            _, chars, length, _, need = self.items[which]
+            mark = np.zeros(len(chars) - self.q + 2, np.int64)
+            mark[place[order[k:k + size] % len(place)] + 1] = 1
+            shared = np.cumsum(mark)
+            span = length - self.q + 1
+            windows = np.flatnonzero(shared[span:] - shared[:-span] >= need)
+            if len(windows):
+                yield which, (c & ((1 << 44) - 1)) * self.step - (1 << 40), windows
+
+
+def aligned_windows(item: np.ndarray, places: np.ndarray, n: int, a: np.ndarray, first: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each window of ``n`` characters of the item at ``places``: its fewest edits against a piece of ``a`` on the
+    diagonals ``first`` .. ``first + width - 1``, and that piece (starts, stops). Row by row over the windows; a cell is
+    edits and start, compared as one number."""
+    unit, shift, base = 1 << 40, np.arange(width), (first + places)[:, None]
+    low, high = int(base.min()), int(base.max()) + n + width + 1
+    pad = np.full(high - low, np.uint64(2**40))
+    lo, hi = max(0, low), min(len(a), high)
+    if hi > lo:
+        pad[lo - low:hi - low] = a[lo:hi]
+    inside = lambda i: (base + i + shift >= 0) & (base + i + shift <= len(a))
+    last = np.full((len(places), 1), unit << 10)
+    cell = np.where(inside(0), base + shift, unit << 10)
+    for i in range(n):
+        diagonal = cell + unit * (pad[base - low + i + shift] != item[places + i][:, None])
+        skipped = np.concatenate([cell[:, 1:], last], axis=1) + unit  # a character of the window that the text lacks
+        best = np.where(inside(i + 1), np.minimum(diagonal, skipped), unit << 10)
+        cell = np.minimum.accumulate(best - unit * shift, axis=1) + unit * shift  # text characters that the window lacks
+    at = np.argmin(cell >> 40, axis=1)
+    got = cell[np.arange(len(places)), at]
+    return got >> 40, got & (unit - 1), first + places + n + at
 
 
 def aligned(pattern: np.ndarray, a: np.ndarray, first: int, width: int) -> tuple[int, int, int]:
-    """Fewest edits of the pattern against a piece of ``a`` on the diagonals ``first`` .. ``first + width - 1``, and
-    that piece (start, stop). Row by row over the pattern; a cell is edits and start, compared as one number."""
-    pad = np.full(width + len(pattern) + 2, np.uint64(2**40))
-    lo = max(0, first)
-    hi = min(len(a), first + width + len(pattern))
-    if hi > lo:
-        pad[lo - first:hi - first] = a[lo:hi]
-    unit, shift = 1 << 40, np.arange(width)
-    inside = lambda i: (first + i + shift >= 0) & (first + i + shift <= len(a))
-    cell = np.where(inside(0), first + shift + unit * 0, unit << 10)
-    for i, c in enumerate(pattern):
-        diagonal = cell + unit * (pad[i:i + width] != c)
-        skipped = np.append(cell[1:], unit << 10) + unit  # a pattern character that the text lacks
-        best = np.where(inside(i + 1), np.minimum(diagonal, skipped), unit << 10)
-        cell = np.minimum.accumulate(best - unit * shift) + unit * shift  # text characters that the pattern lacks
-    at = int(np.argmin(cell >> 40))
-    return int(cell[at] >> 40), int(cell[at] & (unit - 1)), first + len(pattern) + at
+    """``aligned_windows`` of one pattern as a whole."""
+    edits, start, stop = aligned_windows(pattern, np.zeros(1, np.int64), len(pattern), a, first, width)
+    return int(edits[0]), int(start[0]), int(stop[0])
 
 
 def regions(items: Items, text: str) -> list[tuple[int, int, int, int, int]]:
-    """(item, start, stop, edits, windows) of the regions of a text: confirmed windows of an item that touch, joined."""
+    """(item, start, stop, edits, windows) of the regions of a text: confirmed windows of an item that touch, joined.
+    ``edits`` and ``windows`` count the first, the last and those half a window apart between them."""
     a = characters(text)
     hits: dict[int, set[tuple[int, int, int, int]]] = {}
-    for w, first in items.bands(a):
-        item, at, pattern, edits, _ = items.windows[w]
-        n, start, stop = aligned(pattern, a, first, 2 * items.step)
-        if n <= edits and stop > start:
-            hits.setdefault(item, set()).add((start, stop, n, at))
+    for which, first, places in items.bands(a):
+        item, chars, length, most, _ = items.items[which]
+        for k in range(0, len(places), 256):
+            at = places[k:k + 256]
+            edits, start, stop = aligned_windows(chars, at, length, a, first, 2 * items.step)
+            good = (edits <= most) & (stop > start)
+            hits.setdefault(which, set()).update(zip(start[good].tolist(), stop[good].tolist(), edits[good].tolist(), at[good].tolist(), strict=True))
     out = []
-    for item, found in hits.items():
-        open_ = None
+    for which, found in hits.items():
         best: dict[tuple[int, int], tuple] = {}
         for start, stop, n, at in found:  # one confirmation of a window per place
             key = (at, (start - at) // (4 * items.step))
             best[key] = min(best.get(key, (n, start, stop)), (n, start, stop))
+        runs: list[list[tuple]] = []
+        reach = -1
         for n, start, stop in sorted(best.values(), key=lambda x: (x[1], x[2])):
-            if open_ and start <= open_[1]:
-                open_ = [open_[0], max(open_[1], stop), open_[2] + n, open_[3] + 1]
-            else:
-                if open_:
-                    out.append((item, *open_))
-                open_ = [start, stop, n, 1]
-        out.append((item, *open_))
+            if not runs or start > reach:
+                runs.append([])
+                reach = stop
+            runs[-1].append((start, stop, n))
+            reach = max(reach, stop)
+        for run in runs:
+            counted = [run[0]]
+            for x in run[1:]:
+                if x[0] >= counted[-1][0] + max(1, items.window // 2):
+                    counted.append(x)
+            if counted[-1] != run[-1]:
+                counted.append(run[-1])
+            out.append((items.items[which][0], run[0][0], max(x[1] for x in run), sum(x[2] for x in counted), len(counted)))
     return out
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, q: int = Q, per_edit: int = CHARS_PER_EDIT) -> DataFrame:
     """``doc_id, item_id, start, stop, edits, windows``: regions of documents that repeat benchmark items.
 
-    Places count characters from 0. ``edits`` adds up over the ``windows`` confirmed in the region. Texts of less than ``q``
+    Places count characters from 0. ``edits`` adds up over ``windows``, confirmed ones half a window apart. Texts of less than ``q``
     characters and null texts have no regions, neither as documents nor as items; null item ids are kept. Equal items
     and repeated rows each give their own regions. Other columns are ignored; empty tables give an empty result.
     """
@@ -174,7 +201,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, q:
         for b in range(most + 1):
             got = blocks.filter(F.col("_b") == b).orderBy("item_id", "text").select("item_id", "text").collect()
             items = Items([-1 if r[0] is None else r[0] for r in got], [r[1] for r in got], window, q, per_edit)
-            if items.windows:
+            if items.items:
                 found.append(_scan(rows, spark.sparkContext.broadcast(items)))
     return reduce(DataFrame.union, found) if found else spark.createDataFrame([], SCHEMA)
 

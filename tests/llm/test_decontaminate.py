@@ -86,3 +86,24 @@ def test_blocks_of_items_and_empty_tables(spark, monkeypatch):
     assert sorted(map(tuple, D.contaminated(docs, bench).collect())) == whole and len(whole) == 30
     assert D.contaminated(docs, bench.limit(0)).count() == 0
     assert D.contaminated(spark.createDataFrame([], DOCS), bench).count() == 0
+
+
+def test_passages_at_any_offset_and_length(spark):
+    """Any window of an item, wherever it begins and whatever stands around it, exact or with its edits."""
+    own = random.Random(13)
+    bench = [(i, text(own.randint(100, 500))) for i in range(20)]
+    rows, want = [], {}
+    for k in range(200):
+        i, t = own.choice(bench)
+        n = own.randint(96, min(len(t), 140))
+        at = own.choice([own.randint(0, len(t) - n), min(20, len(t) - n)])
+        part = t[at:at + n] if k % 2 else edit(t[at:at + 96], 6)
+        before = text(own.randint(0, 200))
+        rows.append((k, before + part + text(own.randint(0, 200))))
+        want[k] = (i, len(before), len(before) + len(part))
+    rows += [(1000 + k, text(600)) for k in range(50)]
+    found = D.contaminated(documents(spark, rows), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(k, i) for k, (i, _, _) in want.items()}
+    for r in found:
+        _, start, stop = want[r.doc_id]
+        assert abs(r.start - start) <= 12 and abs(r.stop - stop) <= 12
