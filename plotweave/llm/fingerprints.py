@@ -1,8 +1,7 @@
 """Document fingerprints: a homomorphic hash of the multiset of paragraphs.
 
-Every paragraph (line) has a wide vector: ``EXACT`` lanes of 32 bits from its digest, and ``LIKE`` lanes of 16 bits in
-which each of its three-word runs adds +1 or -1. A fingerprint is the sum of the vectors, lane by lane modulo 2^32 and
-2^16. It does not depend on the order of paragraphs, fingerprints of parts add up, and paragraphs are inserted or
+Every paragraph (line) has a wide vector: ``EXACT`` lanes of 32 bits from its digest, and ``LIKE`` lanes of 32 bits in
+which each of its three-word runs adds +1 or -1. A fingerprint is the sum of the vectors, lane by lane modulo 2^32. It does not depend on the order of paragraphs, fingerprints of parts add up, and paragraphs are inserted or
 deleted by adding or subtracting their vectors. Equal texts have equal fingerprints; the inner product of the second
 group of lanes estimates how many three-word runs two texts share.
 """
@@ -33,13 +32,13 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Sum:
-    """A fingerprint: ``exact`` (uint32 lanes) and ``like`` (uint16 lanes)."""
+    """A fingerprint: ``exact`` and ``like`` (uint32 lanes)."""
 
     __slots__ = ("exact", "like")
 
     def __init__(self, exact: np.ndarray | None = None, like: np.ndarray | None = None):
         self.exact = np.zeros(EXACT, np.uint32) if exact is None else exact
-        self.like = np.zeros(LIKE, np.uint16) if like is None else like
+        self.like = np.zeros(LIKE, np.uint32) if like is None else like
 
     @classmethod
     def of(cls, text: str) -> Sum:
@@ -55,7 +54,7 @@ class Sum:
             part = run[at:at + (1 << 16)]
             bits = np.stack([part, _mixed(part + MIX[2])], axis=1).view(np.uint8)
             like += 2 * np.unpackbits(bits, axis=1).sum(axis=0, dtype=np.int64) - len(part)
-        return cls(exact, like.astype(np.uint16))
+        return cls(exact, like.astype(np.uint32))
 
     def __add__(self, other: Sum) -> Sum:
         return Sum(self.exact + other.exact, self.like + other.like)
@@ -64,18 +63,18 @@ class Sum:
         return Sum(self.exact - other.exact, self.like - other.like)
 
     def hex(self) -> str:
-        return (self.exact.astype("<u4").tobytes() + self.like.astype("<u2").tobytes()).hex()
+        return (self.exact.astype("<u4").tobytes() + self.like.astype("<u4").tobytes()).hex()
 
     @classmethod
     def from_hex(cls, text: str) -> Sum:
         raw = bytes.fromhex(text)
-        return cls(np.frombuffer(raw[:4 * EXACT], "<u4").astype(np.uint32), np.frombuffer(raw[4 * EXACT:], "<u2").astype(np.uint16))
+        return cls(np.frombuffer(raw[:4 * EXACT], "<u4").astype(np.uint32), np.frombuffer(raw[4 * EXACT:], "<u4").astype(np.uint32))
 
     def likeness(self, other: Sum) -> float:
         """1 for equal fingerprints; else 2ab / (aa + bb) of the ``LIKE`` lanes, at least 0."""
         if (self.exact == other.exact).all() and (self.like == other.like).all():
             return 1.0
-        a, b = self.like.view(np.int16).astype(np.float64), other.like.view(np.int16).astype(np.float64)
+        a, b = self.like.view(np.int32).astype(np.float64), other.like.view(np.int32).astype(np.float64)
         both = float(a @ a + b @ b)
         return max(0.0, min(1.0, 2.0 * float(a @ b) / both)) if both else 0.0
 
@@ -116,7 +115,7 @@ def update(fingerprints: DataFrame, changes: DataFrame) -> DataFrame:
             for fp, lane in zip(pdf["fingerprint"], pdf["lanes"], strict=True):
                 if lane is not None:
                     v = np.asarray(lane, np.int64)
-                    fp = (Sum.from_hex(fp) + Sum(v[:EXACT].astype(np.uint32), v[EXACT:].astype(np.uint16))).hex()
+                    fp = (Sum.from_hex(fp) + Sum(v[:EXACT].astype(np.uint32), v[EXACT:].astype(np.uint32))).hex()
                 out.append(fp)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "fingerprint": out})
 

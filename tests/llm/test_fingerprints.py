@@ -54,3 +54,11 @@ def test_small_tables(spark):
     assert P.compare_with_edits(spark.createDataFrame([], DOCS)).count() == 0
     one = P.compare_with_edits(documents(spark, [(5, "abcdefgh")])).collect()
     assert len(one) == 1 and one[0].edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest() and one[0].near_next == 1.0
+
+
+def test_long_repetitive_texts_stay_alike():
+    repeated = lambda n: P.Sum.of("\n".join(["one two three"] * n))
+    whole, most = repeated(40_000), repeated(30_000)
+    assert abs(whole.likeness(most) - 2 * 0.75 / (1 + 0.75**2)) < 0.01
+    assert P.Sum.from_hex(whole.hex()).likeness(most) == whole.likeness(most)
+    assert (most + repeated(10_000)).hex() == whole.hex()
