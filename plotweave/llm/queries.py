@@ -2,6 +2,7 @@
 
 from plotweave.llm.decontaminate import op2_benchmark_decontamination
 from plotweave.llm.fingerprints import op5_document_fingerprints
+from plotweave.llm.jaccard import op12_jaccard_join
 from plotweave.llm.packing import op7_best_fit_packing
 from plotweave.llm.resampling import op13_importance_resampling
 from plotweave.llm.simhash import op3_simhash_near_dedup
@@ -17,7 +18,7 @@ QUERIES = {
     for f in (
         op1_substring_dedup, op2_benchmark_decontamination, op3_simhash_near_dedup, op4_suffix_array_dedup,
         op5_document_fingerprints, op6_token_counts, op7_best_fit_packing, op8_url_filters, op9_toxicity, op10_line_dedup,
-        op13_importance_resampling,
+        op12_jaccard_join, op13_importance_resampling,
     )
 }
 ORACLES = {"op8_url_filters": OP8_SQL}
