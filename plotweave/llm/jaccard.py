@@ -11,13 +11,16 @@ too many empty segments allocate two differences' worth to segments: they index
 neighbourhood too, in a space of their own (a pair with one other set was found by that one's segments).
 
 Each signature first compares its members with one leader, which joins large families in one pass. Only members of
-different components meet then, and every candidate is verified on its whole shingle sets.
+different components meet then, in blocks. All sets list their segments in one order (cheapest first), so a pair meets
+where both probe. There the parities of their shingles in some hundred bins bound the difference from below, and
+what passes is verified on the whole shingle sets.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,7 +33,9 @@ from plotweave.operators.iterative import components
 
 WORDS, PERCENT = 5, 80
 #: Characters of text whose signatures make one group of the search for recurring ones.
-GROUP_CHARS = 24_000_000
+GROUP_CHARS = 8_000_000
+#: Members of one signature in a block; the blocks of larger ones all meet.
+BLOCK = 2048
 #: Bits below a signature's hash: band and kind (0: subset, 1: subset or one-deletion subset of a set with few segments).
 BAND_BITS, KIND = 8, 1 << 8
 
@@ -44,6 +49,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _next(own: np.ndarray, word: np.ndarray) -> np.ndarray:
+    own = (own ^ word) * MIX[0]
+    own ^= own >> np.uint64(29)
+    return own
+
+
 class Words(dict):
     """Hashes of words, kept for the common ones."""
 
@@ -58,11 +69,11 @@ def shingle_sets(found: list[str], words: int, known: Words) -> Iterator[np.ndar
     """Sorted hashes of the distinct ``words``-word shingles of each text (A-Z lowered; fewer words: the whole sequence)."""
     split = [t.encode().lower().split() for t in found]
     size = np.fromiter(map(len, split), np.int64, len(split))
-    h = np.fromiter((known[w] for s in split for w in s), np.uint64, int(size.sum()))
+    h = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.uint64, int(size.sum()))
     whole = max(0, len(h) - words + 1)
     own = np.full(whole, words, np.uint64)
     for k in range(words):
-        own = mixed(own * MIX[0] + h[k:k + whole])
+        own = _next(own, h[k:k + whole])
     at = 0
     for n in size.tolist():
         if n >= words:
@@ -70,7 +81,7 @@ def shingle_sets(found: list[str], words: int, known: Words) -> Iterator[np.ndar
         elif n:
             one = np.array([n], np.uint64)
             for k in range(n):
-                one = mixed(one * MIX[0] + h[at + k:at + k + 1])
+                one = _next(one, h[at + k:at + k + 1])
             yield one
         else:
             yield np.zeros(0, np.uint64)
@@ -115,6 +126,17 @@ class Bands:
                     out.append(_signature(salt[None], band | KIND))  # no allocation suffices: these all meet
             yield np.concatenate(out), len(full)
 
+    def parities(self, s: np.ndarray) -> tuple[bytes, bytes]:
+        """Bits of bins with an odd number of shingles, for the set's own band and the one below: two sets differ in
+        at least as many shingles as bits. A band has about 8 bins for each shingle that may differ."""
+        own = bisect_right(self.starts, len(s)) - 1
+        out = []
+        for band in (own, own - 1):
+            bins = 64 * (1 + max(0, self.differ[max(band, 0)]) // 8)
+            at = ((mixed(s) >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
+            out.append(np.packbits((np.bincount(at, minlength=bins) & 1).astype(bool)).tobytes())
+        return out[0], out[1]
+
 
 def _signature(x: np.ndarray, low: int) -> np.ndarray:
     return (mixed(x) & ~np.uint64((1 << (BAND_BITS + 1)) - 1)) | np.uint64(low)
@@ -196,8 +218,8 @@ def shared_signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return rows.groupBy("group").applyInPandas(shared, "sig long, sid long, n long, full long").distinct()
 
 
-def whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """``sid, hashes`` of the sets in ``wanted``; a task sends each set on once a batch."""
+def whole_sets(docs: DataFrame, wanted: DataFrame, words: int, percent: int) -> DataFrame:
+    """``sid, hashes, own, below`` of the sets in ``wanted``, with their parities; a task sends each set on once a batch."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Words()
@@ -205,8 +227,69 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             own = {_identity(s): s for s in shingle_sets(pdf["text"].tolist(), words, known) if len(s)}
             yield pd.DataFrame({"sid": list(own), "hashes": [s.tobytes() for s in own.values()]})
 
+    def with_bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bands = Bands(percent)
+        for pdf in batches:
+            bits = [bands.parities(np.frombuffer(s, np.uint64)) for s in pdf["hashes"]]
+            yield pdf.assign(own=[b[0] for b in bits], below=[b[1] for b in bits])
+
     rows = texts(docs).mapInPandas(made, "sid long, hashes binary")
-    return rows.join(wanted, "sid", "left_semi").dropDuplicates(["sid"])
+    found = rows.join(wanted, "sid", "left_semi").dropDuplicates(["sid"])
+    return found.mapInPandas(with_bins, "sid long, hashes binary, own binary, below binary")
+
+
+def _in_groups(batches: Iterator[pd.DataFrame], key: list[str]) -> Iterator[pd.DataFrame]:
+    """Whole groups of rows that come sorted by ``key``."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        changes = (pdf[key] != pdf[key].shift()).any(axis=1).to_numpy().nonzero()[0].tolist()
+        if held and len(pdf) and (held[-1][key].iloc[-1] != pdf[key].iloc[0]).any():
+            yield pd.concat(held)
+            held = []
+        for a, b in zip(changes, [*changes[1:], len(pdf)], strict=True):
+            if a and held:
+                yield pd.concat(held)
+                held = []
+            held.append(pdf.iloc[a:b])
+    if held:
+        yield pd.concat(held)
+
+
+def candidates(rows: DataFrame, percent: int) -> DataFrame:
+    """``src, dst`` of different components that share a signature, are of like size and may be similar by ``bits``.
+
+    ``rows``: ``sig, sid, n, component, size, bits``.
+    """
+    blocks = F.ceil(F.col("size") / BLOCK)
+    mine = F.pmod(F.xxhash64("sid"), blocks).cast("int")
+    spread = rows.withColumn("mine", mine).withColumn("_o", F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1)))
+    spread = spread.select("sig", F.least("mine", "_o").alias("a"), F.greatest("mine", "_o").alias("b"), "mine", "sid", "n", "component", "bits")
+    key = ["sig", "a", "b"]
+
+    def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in _in_groups(batches, key):
+            sid, n, part = (g[c].to_numpy(np.int64) for c in ("sid", "n", "component"))
+            if (part == part[0]).all():
+                continue
+            bits = np.frombuffer(b"".join(g["bits"]), np.uint64).reshape(len(g), -1)
+            first = g["mine"].to_numpy() == g["a"].to_numpy()
+            own, other = np.flatnonzero(first), np.flatnonzero(~first) if g["a"].iloc[0] != g["b"].iloc[0] else np.arange(len(g))
+            src, dst = [], []
+            for at in range(0, len(own), 128):
+                i = own[at:at + 128]
+                d = np.zeros((len(i), len(other)), np.int64)
+                for w in range(bits.shape[1]):
+                    d += np.bitwise_count(bits[i, w][:, None] ^ bits[other, w][None, :])
+                ni, nj = n[i][:, None], n[other][None, :]
+                may = (d <= (ni + nj) * (100 - percent) // (100 + percent)) & (part[i][:, None] != part[other][None, :])
+                may &= np.minimum(ni, nj) * 100 >= np.maximum(ni, nj) * percent
+                x, y = np.nonzero(may)
+                src.append(np.minimum(sid[i[x]], sid[other[y]]))
+                dst.append(np.maximum(sid[i[x]], sid[other[y]]))
+            yield pd.DataFrame({"src": np.concatenate(src), "dst": np.concatenate(dst)}).drop_duplicates()
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return spread.repartition(parts, *key).sortWithinPartitions(*key).mapInPandas(met, "src long, dst long").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -250,7 +333,7 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
     group = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("shared", "n", "sid")).alias("lead"))
     rows = cut(rows.join(group, "sig"))
 
-    sets = cut(whole_sets(docs, rows.filter("size > 1").select("sid").distinct(), words))
+    sets = cut(whole_sets(docs, rows.filter("size > 1").select("sid").distinct(), words, percent))
     first = rows.filter("size > 1 AND sid <> lead.sid").select("sid", "n", F.col("lead.sid").alias("other"), F.col("lead.n").alias("m"))
     stars = cut(first.filter(_fits("n", "m", percent)).select(*_pair("sid", "other")).distinct())
     found = cut(verified(stars, sets, percent))
@@ -259,14 +342,15 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
     # the cheapest H + 1 segments, of which those of no other set need no search
     cheap = Window.partitionBy("sid", "space").orderBy("size", "sig")
     turn = F.row_number().over(cheap)
-    rows = rows.withColumn("probes", ~plain | (turn <= differ + 1 - (F.col("full") - F.col("shared"))))
+    rows = rows.withColumn("_t", turn)
+    rows = rows.filter(~plain | (F.col("_t") <= differ + 1 - (F.col("full") - F.col("shared"))))
     rows = rows.join(parts, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    open_ = rows.groupBy("sig").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).filter("_a <> _b").select("sig")
-    rows = cut(rows.join(open_, "sig", "left_semi").select("sig", "sid", "n", "component", "probes"))
-    one = rows.filter("probes").select("sig", "sid", "n", "component")
-    two = rows.select("sig", F.col("sid").alias("other"), F.col("n").alias("m"), F.col("component").alias("_c"))
-    met = one.join(two, "sig").filter((F.col("component") != F.col("_c")) & _fits("n", "m", percent))
-    more = met.select(*_pair("sid", "other")).distinct().join(stars, ["src", "dst"], "left_anti")
+    open_ = rows.groupBy("sig").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.count(F.lit(1)).alias("_n"))
+    open_ = open_.filter("_a <> _b").select("sig", F.col("_n").alias("size"))
+    rows = rows.select("sig", "sid", "n", "component").join(open_, "sig")
+    above = F.element_at(F.array(*[F.lit(x) for x in bands.starts[1:]]), F.col("sig").bitwiseAND(low).cast("int") + 1)
+    rows = rows.join(sets.drop("hashes"), "sid").withColumn("bits", F.when(F.col("n") < above, F.col("own")).otherwise(F.col("below")))
+    more = candidates(rows.drop("own", "below"), percent).join(stars, ["src", "dst"], "left_anti")
     found = found.union(cut(verified(more, sets, percent)))
     return found, _components(found)
 

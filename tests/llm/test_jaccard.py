@@ -73,6 +73,7 @@ def test_equals_all_pairs(spark):
 
 def test_small_groups_and_common_passages(spark, monkeypatch):
     monkeypatch.setattr(J, "GROUP_CHARS", 3000)
+    monkeypatch.setattr(J, "BLOCK", 7)
     passage = " ".join(f"p{i}" for i in range(60))
     rnd = random.Random(8)
     rows = [(i, f"{passage} " + " ".join(f"q{rnd.randrange(3000)}" for _ in range(rnd.choice([3, 8, 10, 40])))) for i in range(120)]
