@@ -4,6 +4,7 @@ from plotweave.llm.decontaminate import op2_benchmark_decontamination
 from plotweave.llm.fingerprints import op5_document_fingerprints
 from plotweave.llm.jaccard import op12_jaccard_join
 from plotweave.llm.packing import op7_best_fit_packing
+from plotweave.llm.periodic import op11_periodic_runs
 from plotweave.llm.resampling import op13_importance_resampling
 from plotweave.llm.simhash import op3_simhash_near_dedup
 from plotweave.llm.substrings import op1_substring_dedup
@@ -18,7 +19,7 @@ QUERIES = {
     for f in (
         op1_substring_dedup, op2_benchmark_decontamination, op3_simhash_near_dedup, op4_suffix_array_dedup,
         op5_document_fingerprints, op6_token_counts, op7_best_fit_packing, op8_url_filters, op9_toxicity, op10_line_dedup,
-        op12_jaccard_join, op13_importance_resampling,
+        op11_periodic_runs, op12_jaccard_join, op13_importance_resampling,
     )
 }
 ORACLES = {"op8_url_filters": OP8_SQL}
