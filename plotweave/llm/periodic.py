@@ -160,9 +160,9 @@ def _parts(docs: DataFrame) -> DataFrame:
                 out.append((key, doc, len(words), int(bool(own)), None, None, None, None, b" ".join(words).decode()))
                 for k, lo, found, part in own:
                     out.append((key, None, None, 2, k, lo, found.astype(np.int64).tobytes(), part.tobytes(), None))
-            columns = [c.split()[0] for c in PARTS.split(", ")]
-            frame = pd.DataFrame(out, columns=columns)
-            yield frame.astype({c: "Int64" for c in ("doc_id", "n_words", "octave", "lo")})
+            names = [c.split()[0] for c in PARTS.split(", ")]
+            made = zip(*out, strict=True) if out else [[]] * len(names)
+            yield pd.DataFrame({c: pd.array(list(v), "Int64" if k < 6 else object) for k, (c, v) in enumerate(zip(names, made, strict=True))})
 
     return texts(docs).withColumn("key", F.monotonically_increasing_id()).mapInPandas(made, PARTS)
 
