@@ -36,6 +36,8 @@ WORDS, PERCENT = 5, 80
 GROUP_CHARS = 8_000_000
 #: Members of one signature in a block; the blocks of larger ones all meet.
 BLOCK = 2048
+#: Members of a group whose pairs are taken by their distance in it, for all such groups at once.
+FEW = 24
 #: Bits below a signature's hash: band and kind (0: subset, 1: subset or one-deletion subset of a set with few segments).
 BAND_BITS, KIND = 8, 1 << 8
 
@@ -99,6 +101,7 @@ class Bands:
         most = [b - 1 for b in starts[1:]]
         self.differ = [(a + a * 100 // percent) * (100 - percent) // (100 + percent) for a in most]
         self.segments = [h + 1 + (-(-15 * (h + 1) // 100) if h >= 4 else 0) for h in self.differ]
+        self.places: dict[int, tuple] = {}
         assert len(starts) < 1 << BAND_BITS, "similarity too high for the bits of a band"
 
     def signatures(self, s: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
@@ -108,12 +111,15 @@ class Bands:
             if band < 0 or not self.differ[band]:
                 continue  # only equal sets link
             h, m = self.differ[band], self.segments[band]
-            salt = mixed(np.array([band + 1], np.uint64) * MIX[0])[0]
-            value = mixed(s ^ salt)
+            if band not in self.places:
+                salt = mixed(np.array([band + 1], np.uint64) * MIX[0])
+                self.places[band] = salt[0], mixed(np.arange(1, m + 1, dtype=np.uint64) * MIX[0] + salt)
+            salt, place = self.places[band]
+            value = (s ^ salt) * MIX[1]  # the hashes are mixed already
+            value ^= value >> np.uint64(32)
             segment = (((value >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)).astype(np.int64)
             total, count = np.zeros(m, np.uint64), np.bincount(segment, minlength=m)
             np.add.at(total, segment, value)
-            place = mixed(np.arange(1, m + 1, dtype=np.uint64) * MIX[0] + salt)
             full = np.flatnonzero(count)
             subset = total[full] ^ place[full]
             out = [_signature(subset, band)]
@@ -123,7 +129,7 @@ class Bands:
                 less = (total[segment[rest]] - value[rest]) ^ place[segment[rest]]
                 out.append(np.unique(_signature(less, band | KIND)))
                 if int(np.minimum(count[full], 2).sum()) <= h:
-                    out.append(_signature(salt[None], band | KIND))  # no allocation suffices: these all meet
+                    out.append(_signature(place[:1], band | KIND))  # no allocation suffices: these all meet
             yield np.concatenate(out), len(full)
 
     def parities(self, s: np.ndarray) -> tuple[bytes, bytes]:
@@ -146,50 +152,41 @@ def _identity(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def sets_of(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, sid, n``: identity and size of each row's shingle set; an empty set has no identity."""
+PARTS = "doc_id long, sid long, n long, group long, sig binary, sids binary, sizes binary, full binary"
 
-    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = Words()
-        for pdf in slices(batches, "text"):
-            sets = list(shingle_sets(pdf["text"].tolist(), words, known))
-            sid = pd.array([_identity(s) if len(s) else None for s in sets], "Int64")
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "sid": sid, "n": [len(s) for s in sets]})
-
-    return texts(docs).mapInPandas(made, "doc_id long, sid long, n long")
 
-
-def shared_signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """``sig, sid, n, full``: signatures that several different sets have, with each set's size and non-empty segments.
+def _parts(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """One pass over the texts. Rows without ``group``: ``doc_id, sid, n``, identity and size of each row's set (an
+    empty set has no identity). Rows with it: packed signatures for the search of recurring ones.
 
     A batch sends a signature on only once, packed with others of its group; those that recur inside the batch are
     known to be shared and need no search. So a signature that a third of all texts have stays small in every group.
     """
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     groups = max(1, chars // GROUP_CHARS)
-    kinds = {"sig": np.uint64, "sid": np.int64, "n": np.int64, "full": np.int64}
+    names = [c.split()[0] for c in PARTS.split(", ")]
 
     def packed(group: int, *columns: np.ndarray) -> tuple:
-        return (group, *[c.tobytes() for c in columns])
+        return (None, None, None, group, *[c.tobytes() for c in columns])
 
     def searched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, bands = Words(), Bands(percent)
         for pdf in slices(batches, "text"):
-            sig, row = [], []
-            seen = set()
-            for s in shingle_sets(pdf["text"].tolist(), words, known):
-                sid = _identity(s)
-                if sid not in seen:
+            sig, row, out, seen = [], [], [], set()
+            for doc, s in zip(pdf["doc_id"], shingle_sets(pdf["text"].tolist(), words, known), strict=True):
+                sid = _identity(s) if len(s) else None
+                out.append((doc, sid, len(s), *[None] * 5))
+                if sid is not None and sid not in seen:
                     seen.add(sid)
                     for own, full in bands.signatures(s):
                         sig.append(own)
                         row.append((len(own), sid, len(s), full))
-            if not sig:
-                continue
-            columns = [np.concatenate(sig), *[np.repeat([r[k] for r in row], [r[0] for r in row]).astype(np.int64) for k in (1, 2, 3)]]
+            columns = [np.concatenate([np.zeros(0, np.uint64), *sig])]
+            columns += [np.repeat(np.array([r[k] for r in row], np.int64), [r[0] for r in row]) for k in (1, 2, 3)]
             _, first, place, times = np.unique(columns[0], return_index=True, return_inverse=True, return_counts=True)
             again = times[place] > 1
-            out = [packed(-1 - int(columns[1][0] % groups), *[c[again] for c in columns])] if again.any() else []
+            if again.any():
+                out.append(packed(-1 - int(columns[1][0] % groups), *[c[again] for c in columns]))
             first.sort()  # by text: repeated numbers pack well
             to = ((columns[0][first] >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(to, kind="stable")
@@ -197,13 +194,21 @@ def shared_signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
             for g in range(groups):
                 if ends[g] < ends[g + 1]:
                     out.append(packed(g, *[c[first[order[ends[g]:ends[g + 1]]]] for c in columns]))
-            yield pd.DataFrame(out, columns=["group", *kinds])
+            made = zip(*out, strict=True) if out else [[]] * len(names)
+            yield pd.DataFrame({c: pd.array(list(v), "Int64" if k < 4 else object) for k, (c, v) in enumerate(zip(names, made, strict=True))})
+
+    return texts(docs).mapInPandas(searched, PARTS)
+
+
+def shared_signatures(parts: DataFrame) -> DataFrame:
+    """``sig, sid, n, full``: signatures that several different sets have, with each set's size and non-empty segments."""
+    kinds = {"sig": np.uint64, "sids": np.int64, "sizes": np.int64, "full": np.int64}
 
     def shared(pdf: pd.DataFrame) -> pd.DataFrame:
         made = {c: np.frombuffer(b"".join(pdf[c]), t) for c, t in kinds.items()}
         if pdf["group"].iloc[0] >= 0:
-            order = np.lexsort((made["sid"], made["sig"]))
-            sig, sid = made["sig"][order], made["sid"][order]
+            order = np.lexsort((made["sids"], made["sig"]))
+            sig, sid = made["sig"][order], made["sids"][order]
             new = np.ones(len(order), bool)
             new[1:] = sig[1:] != sig[:-1]
             distinct = new.copy()
@@ -212,9 +217,9 @@ def shared_signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
             order = order[np.bincount(group)[group] > 1]
             made = {c: v[order] for c, v in made.items()}
         made["sig"] = made["sig"].view(np.int64)
-        return pd.DataFrame(made)
+        return pd.DataFrame(made).rename(columns={"sids": "sid", "sizes": "n"})
 
-    rows = texts(docs).mapInPandas(searched, "group long, sig binary, sid binary, n binary, full binary")
+    rows = parts.filter("group IS NOT NULL").select("group", *kinds)
     return rows.groupBy("group").applyInPandas(shared, "sig long, sid long, n long, full long").distinct()
 
 
@@ -238,21 +243,34 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, words: int, percent: int) ->
     return found.mapInPandas(with_bins, "sid long, hashes binary, own binary, below binary")
 
 
-def _in_groups(batches: Iterator[pd.DataFrame], key: list[str]) -> Iterator[pd.DataFrame]:
-    """Whole groups of rows that come sorted by ``key``."""
-    held: list[pd.DataFrame] = []
+def _whole_groups(batches: Iterator[pd.DataFrame], key: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows, which come sorted by ``key``, in frames that hold whole groups."""
+    held = None
     for pdf in batches:
-        changes = (pdf[key] != pdf[key].shift()).any(axis=1).to_numpy().nonzero()[0].tolist()
-        if held and len(pdf) and (held[-1][key].iloc[-1] != pdf[key].iloc[0]).any():
-            yield pd.concat(held)
-            held = []
-        for a, b in zip(changes, [*changes[1:], len(pdf)], strict=True):
-            if a and held:
-                yield pd.concat(held)
-                held = []
-            held.append(pdf.iloc[a:b])
-    if held:
-        yield pd.concat(held)
+        rows = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        first = int((rows[key] == rows[key].iloc[-1]).all(axis=1).to_numpy().argmax())
+        held = rows.iloc[first:]
+        if first:
+            yield rows.iloc[:first]
+    if held is not None:
+        yield held
+
+
+def _differing(bits: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Bits in which the byte strings ``bits[i]`` and ``bits[j]``, of one length each pair, differ."""
+    out = np.zeros(len(i), np.int64)
+    width = np.fromiter(map(len, bits), np.int64, len(bits))
+    for w in np.unique(width[i]).tolist():
+        rows = np.flatnonzero(width == w)
+        wide = np.frombuffer(b"".join(bits[rows]), np.uint64).reshape(len(rows), -1)
+        place = np.zeros(len(bits), np.int64)
+        place[rows] = np.arange(len(rows))
+        of = np.flatnonzero(width[i] == w)
+        step = max(1, (1 << 22) // w)
+        for at in range(0, len(of), step):
+            part = of[at:at + step]
+            out[part] = np.bitwise_count(wide[place[i[part]]] ^ wide[place[j[part]]]).sum(axis=1)
+    return out
 
 
 def candidates(rows: DataFrame, percent: int) -> DataFrame:
@@ -267,26 +285,36 @@ def candidates(rows: DataFrame, percent: int) -> DataFrame:
     key = ["sig", "a", "b"]
 
     def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in _in_groups(batches, key):
-            sid, n, part = (g[c].to_numpy(np.int64) for c in ("sid", "n", "component"))
-            if (part == part[0]).all():
-                continue
-            bits = np.frombuffer(b"".join(g["bits"]), np.uint64).reshape(len(g), -1)
-            first = g["mine"].to_numpy() == g["a"].to_numpy()
-            own, other = np.flatnonzero(first), np.flatnonzero(~first) if g["a"].iloc[0] != g["b"].iloc[0] else np.arange(len(g))
-            src, dst = [], []
-            for at in range(0, len(own), 128):
-                i = own[at:at + 128]
-                d = np.zeros((len(i), len(other)), np.int64)
-                for w in range(bits.shape[1]):
-                    d += np.bitwise_count(bits[i, w][:, None] ^ bits[other, w][None, :])
-                ni, nj = n[i][:, None], n[other][None, :]
-                may = (d <= (ni + nj) * (100 - percent) // (100 + percent)) & (part[i][:, None] != part[other][None, :])
-                may &= np.minimum(ni, nj) * 100 >= np.maximum(ni, nj) * percent
-                x, y = np.nonzero(may)
-                src.append(np.minimum(sid[i[x]], sid[other[y]]))
-                dst.append(np.maximum(sid[i[x]], sid[other[y]]))
-            yield pd.DataFrame({"src": np.concatenate(src), "dst": np.concatenate(dst)}).drop_duplicates()
+        for rows in _whole_groups(batches, key):
+            sig, a, b, sid, n, part = (rows[c].to_numpy(np.int64) for c in (*key, "sid", "n", "component"))
+            first, bits = rows["mine"].to_numpy() == a, rows["bits"].to_numpy()
+            new = np.ones(len(rows), bool)
+            new[1:] = (sig[1:] != sig[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            group, start = np.cumsum(new) - 1, np.flatnonzero(new)
+            size = np.diff([*start, len(rows)])
+
+            def may(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                ok = (part[i] != part[j]) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent)
+                i, j = i[ok], j[ok]
+                ok = _differing(bits, i, j) <= (n[i] + n[j]) * (100 - percent) // (100 + percent)
+                return i[ok], j[ok]
+
+            small = size[group] <= FEW
+            met_ = []
+            for apart in range(1, int(min(FEW, size.max()))):
+                at = np.flatnonzero(small[apart:] & (group[apart:] == group[:-apart]))
+                met_.append(may(at, at + apart))
+            for g in np.flatnonzero(size > FEW).tolist():
+                own = np.arange(start[g], start[g] + size[g])
+                one, two = (own[first[own]], own[~first[own]]) if a[own[0]] != b[own[0]] else (own, own)
+                order = np.argsort(n[two], kind="stable")
+                two = two[order]
+                for at in range(0, len(one), 64):
+                    i = one[at:at + 64]
+                    lo, hi = np.searchsorted(n[two], [-(-n[i].min() * percent // 100), n[i].max() * 100 // percent + 1])
+                    met_.append(may(np.repeat(i, hi - lo), np.tile(two[lo:hi], len(i))))
+            i, j = (np.concatenate([m[k] for m in met_]) if met_ else np.zeros(0, np.int64) for k in (0, 1))
+            yield pd.DataFrame({"src": np.minimum(sid[i], sid[j]), "dst": np.maximum(sid[i], sid[j])}).drop_duplicates()
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return spread.repartition(parts, *key).sortWithinPartitions(*key).mapInPandas(met, "src long, dst long").distinct()
@@ -317,14 +345,14 @@ def _pair(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("src"), F.greatest(a, b).alias("dst")]
 
 
-def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, parts: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(``src, dst`` of links between identities of sets; ``sid, component`` of linked ones): they connect the same
     sets as all pairs whose similarity is ``percent`` or more."""
     bands = Bands(percent)
     low = (1 << BAND_BITS) - 1
     differ = F.element_at(F.array(*[F.lit(h) for h in bands.differ]), F.col("sig").bitwiseAND(low).cast("int") + 1)
     plain = F.col("sig").bitwiseAND(KIND) == 0
-    rows = cut(shared_signatures(docs, words, percent))
+    rows = cut(shared_signatures(parts))
     space = F.col("sig").bitwiseAND(low | KIND).alias("space")
     count = rows.groupBy("sid", space).agg(F.count(F.lit(1)).alias("shared"))
     rows = rows.withColumn("space", space).join(count, ["sid", "space"])
@@ -337,14 +365,14 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
     first = rows.filter("size > 1 AND sid <> lead.sid").select("sid", "n", F.col("lead.sid").alias("other"), F.col("lead.n").alias("m"))
     stars = cut(first.filter(_fits("n", "m", percent)).select(*_pair("sid", "other")).distinct())
     found = cut(verified(stars, sets, percent))
-    parts = _components(found)
+    joined = _components(found)
 
     # the cheapest H + 1 segments, of which those of no other set need no search
     cheap = Window.partitionBy("sid", "space").orderBy("size", "sig")
     turn = F.row_number().over(cheap)
     rows = rows.withColumn("_t", turn)
     rows = rows.filter(~plain | (F.col("_t") <= differ + 1 - (F.col("full") - F.col("shared"))))
-    rows = rows.join(parts, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    rows = rows.join(joined, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     open_ = rows.groupBy("sig").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.count(F.lit(1)).alias("_n"))
     open_ = open_.filter("_a <> _b").select("sig", F.col("_n").alias("size"))
     rows = rows.select("sig", "sid", "n", "component").join(open_, "sig")
@@ -368,10 +396,11 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     are taken whole, other columns are ignored, an empty table gives an empty result. Shingles are told apart by
     hashes of 64 bits.
     """
-    known = cut(sets_of(docs, words))
+    parts = cut(_parts(docs, words, percent))
+    known = parts.filter("group IS NULL").select("doc_id", "sid", "n")
     points = known.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("least"))
-    _, parts = links(docs, words, percent)
-    points = points.join(parts, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    _, linked = links(docs, parts, words, percent)
+    points = points.join(linked, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     points = cut(points)
     least = points.groupBy("component").agg(F.min("least").alias("component_id"))
     named = points.select("sid", "component").join(least, "component").select("sid", "component_id")

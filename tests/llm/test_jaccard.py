@@ -74,6 +74,7 @@ def test_equals_all_pairs(spark):
 def test_small_groups_and_common_passages(spark, monkeypatch):
     monkeypatch.setattr(J, "GROUP_CHARS", 3000)
     monkeypatch.setattr(J, "BLOCK", 7)
+    monkeypatch.setattr(J, "FEW", 3)
     passage = " ".join(f"p{i}" for i in range(60))
     rnd = random.Random(8)
     rows = [(i, f"{passage} " + " ".join(f"q{rnd.randrange(3000)}" for _ in range(rnd.choice([3, 8, 10, 40])))) for i in range(120)]
@@ -82,8 +83,7 @@ def test_small_groups_and_common_passages(spark, monkeypatch):
 
 def test_empty_tables(spark):
     check(spark, [])
-    check(spark, [(1, None), (2, ""), (3, " \t")])
-    check(spark, [(4, "one two"), (3, "One TWO"), (5, "one two three")])
+    check(spark, [(1, None), (2, ""), (6, " \t"), (4, "one two"), (3, "One TWO"), (5, "one two three")])
 
 
 def test_long_text(spark):
