@@ -5,7 +5,7 @@ links count as variable. In the node it reaches, a token that enough lines share
 others are variable fields. The pattern of constants and fields is the line's template. Templates that recur in enough
 documents, and are constant for at least half of their tokens, are dropped everywhere.
 
-Support counts documents by their surroundings: each line of a document is stamped with the smallest hash of the
+A template's support counts documents by their surroundings: each line of a document is stamped with the smallest hash of the
 document's other lines, and equal stamps count once. Boilerplate recurs under different stamps; a document that was
 copied many times has the same stamps and keeps its lines for the near-duplicate operators.
 """
@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -70,16 +71,31 @@ def dropped_lines(docs: DataFrame, depth: int = DEPTH, support: int = SUPPORT, c
     # from here on a line is the hash of its tokens, its kind; the tokens themselves move once for each kind
     support_of = found.groupBy("node", "kind").agg(F.countDistinct("stamp").alias("n"))
     listed = found.groupBy("node", "kind").agg(F.first("tokens").alias("tokens"))
-    kinds = support_of.join(listed, ["node", "kind"])
-    fields = cut(kinds.select("node", "kind", "n", F.posexplode(F.split("tokens", " ")).alias("at", "token")))
-    common = fields.filter(F.col("token") != FIELD).groupBy("node", "at", "token").agg(F.sum("n").alias("s")).filter(F.col("s") >= support)
+    token = F.split("tokens", " ")
+    own = lambda t, at: F.when(t == FIELD, F.lit(0)).otherwise(F.xxhash64("node", at, t))
+    kinds = cut(support_of.join(listed, ["node", "kind"]).withColumn("keys", F.transform(token, own)))
+    parts = kinds.select("node", "n", F.posexplode(token).alias("at", "token")).filter(F.col("token") != FIELD)
+    common = parts.groupBy("node", "at", "token").agg(F.sum("n").alias("s")).filter(F.col("s") >= support)
+    common = cut(common.select("node", "at", "token", F.xxhash64("node", "at", "token").alias("key")))
+    known = docs.sparkSession.sparkContext.broadcast(bit_table(common, "key"))
+
+    def may_be_constant(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            keys = [np.asarray(own, np.int64).view(np.uint64) for own in pdf["keys"]]
+            share = [(passes(known.value, k) & (k != 0)).mean() for k in keys]
+            yield pdf.loc[np.array(share, np.float64) >= constant, ["node", "kind", "tokens"]]
+
+    # most lines of a node have few tokens that recur: they are settled before anything is joined
+    likely = kinds.select("node", "kind", "tokens", "keys").mapInPandas(may_be_constant, "node long, kind long, tokens string")
+    fields = likely.select("node", "kind", F.posexplode(token).alias("at", "token"))
     marked = fields.join(common.select("node", "at", "token", F.lit(1).alias("same")), ["node", "at", "token"], "left")
     shown = F.struct("at", F.when(F.col("same") == 1, F.xxhash64("token")).alias("t"))
     template = marked.groupBy("node", "kind").agg(
-        F.max("n").alias("n"), F.sort_array(F.collect_list(shown)).alias("parts"), F.avg(F.coalesce("same", F.lit(0))).alias("share")
-    ).select("node", "kind", "n", "share", F.xxhash64("parts").alias("template"))
-    template = cut(template.filter(F.col("share") >= constant))
-    recurring = template.groupBy("node", "template").agg(F.sum("n").alias("s")).filter(F.col("s") >= support)
+        F.sort_array(F.collect_list(shown)).alias("parts"), F.avg(F.coalesce("same", F.lit(0))).alias("share")
+    ).select("node", "kind", "share", F.xxhash64("parts").alias("template"))
+    template = cut(template.filter(F.col("share") >= constant).drop("share"))
+    lines_of = found.select("node", "kind", "stamp").join(template, ["node", "kind"])
+    recurring = lines_of.groupBy("node", "template").agg(F.countDistinct("stamp").alias("s")).filter(F.col("s") >= support)
     gone = template.join(recurring, ["node", "template"]).select("node", "kind")
     return cut(found.join(gone, ["node", "kind"]).groupBy("d", "r").agg(F.collect_set("line").alias("lines")))
 
@@ -88,20 +104,21 @@ def drop_lines(docs: DataFrame, depth: int = DEPTH, support: int = SUPPORT, cons
     """All columns of ``docs`` with ``text`` less the dropped lines, and ``n_lines``, ``n_removed``.
 
     Lines end at line feeds; lines without tokens stay. A null text has one line, stays null and loses none. A text that
-    loses all its lines becomes empty. Repeated rows share their decisions, ids may be null, other columns are
-    carried along except such named ``d``, ``r``, ``lines``, ``n_lines`` or ``n_removed``. Empty in, empty out.
+    loses all its lines becomes empty. Texts are read whole. Repeated rows share their decisions, ids may be null, all other
+    columns are carried along but ``n_lines`` and ``n_removed``, which are made anew. Empty in, empty out.
     """
-    own = [c for c in docs.columns if c not in ("d", "r", "lines", "n_lines", "n_removed")]
+    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.select(*own, F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), F.xxhash64(text).alias("r"))
-    joined = keyed.join(dropped_lines(docs, depth, support, constant), ["d", "r"], "left")
+    gone = dropped_lines(docs, depth, support, constant).select(*[F.col(c).alias(f"_gone_{c}") for c in ("d", "r", "lines")])
+    keyed = docs.select(*own, F.coalesce("doc_id", F.lit(-(2**63))).alias("_gone_d"), F.xxhash64(text).alias("_gone_r"))
+    joined = keyed.join(gone, ["_gone_d", "_gone_r"], "left")
     split = F.split("text", "\n", -1)
-    kept = F.filter(split, lambda x, i: ~F.array_contains("lines", i))
-    left = F.when(F.col("lines").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    kept = F.filter(split, lambda x, i: ~F.array_contains("_gone_lines", i))
+    left = F.when(F.col("_gone_lines").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return joined.select(
         *[left.alias("text") if c == "text" else F.col(c) for c in own],
         F.coalesce(F.size(split), F.lit(1)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.size("_gone_lines"), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 

@@ -24,15 +24,15 @@ def plain(rows, depth, support, constant):
     for (node, tokens), stamps in kinds.items():
         for at, t in enumerate(tokens):
             share[node, at, t] += len(stamps)
-    count, shape = defaultdict(int), {}
+    count, shape = defaultdict(set), {}
     for (node, tokens), stamps in kinds.items():
         same = [t != T.FIELD and share[node, at, t] >= support for at, t in enumerate(tokens)]
         if sum(same) / len(same) >= constant:
             shape[node, tokens] = (node, tuple(t if s else T.FIELD for t, s in zip(tokens, same)))
-            count[shape[node, tokens]] += len(stamps)
+            count[shape[node, tokens]] |= stamps
     gone = defaultdict(set)
     for key, no, node, _, tokens in lines:
-        if (node, tokens) in shape and count[shape[node, tokens]] >= support:
+        if (node, tokens) in shape and len(count[shape[node, tokens]]) >= support:
             gone[key].add(no)
     out = []
     for key, (i, text) in enumerate(rows):
@@ -62,7 +62,7 @@ def test_equals_plain_version(spark, seed, support):
     found = T.drop_lines(documents(spark, rows), 3, support, 0.5)
     got = sorted((tuple(r) for r in found.select("doc_id", "text", "n_lines", "n_removed").collect()), key=str)
     assert got == plain(rows, 3, support, 0.5)
-    assert set(found.columns) == {"doc_id", "text", "lang", "source", "n_chars", "h", "fp", "text2", "score", "n_lines", "n_removed"}
+    assert set(found.columns) == {"doc_id", "text", "lang", "source", "n_chars", "d", "r", "h", "fp", "text2", "score", "n_lines", "n_removed"}
 
 
 def test_boilerplate_goes_and_copies_stay(spark):
@@ -72,5 +72,13 @@ def test_boilerplate_goes_and_copies_stay(spark):
     assert all("only these copies have" in got[100 + k] for k in range(40))
 
 
+def test_lines_of_one_document_do_not_make_a_template(spark):
+    words = ["ab", "cd", "ef", "gh", "ij", "kl", "mn", "op", "qr", "st", "uv", "wx"]
+    one = "\n".join(f"of the same kind but {w} only" for w in words)
+    others = [(i, f"of the same kind {w} {w}{v} here {v}\nand {w} {v}") for i, (w, v) in enumerate((w, v) for w in words for v in words[:2])]
+    got = {r.doc_id: r.n_removed for r in T.drop_lines(documents(spark, [(500, one), *others])).collect()}
+    assert got[500] == 0
+
+
 def test_empty_table(spark):
     assert T.drop_lines(spark.createDataFrame([], DOCS)).count() == 0
