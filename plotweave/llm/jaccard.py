@@ -148,7 +148,7 @@ def _signature(x: np.ndarray, low: int) -> np.ndarray:
     return (mixed(x) & ~np.uint64((1 << (BAND_BITS + 1)) - 1)) | np.uint64(low)
 
 
-def _identity(s: np.ndarray) -> int:
+def identity(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
@@ -174,7 +174,7 @@ def _parts(docs: DataFrame, words: int, percent: int) -> DataFrame:
         for pdf in slices(batches, "text"):
             sig, row, out, seen = [], [], [], set()
             for doc, s in zip(pdf["doc_id"], shingle_sets(pdf["text"].tolist(), words, known), strict=True):
-                sid = _identity(s) if len(s) else None
+                sid = identity(s) if len(s) else None
                 out.append((doc, sid, len(s), *[None] * 5))
                 if sid is not None and sid not in seen:
                     seen.add(sid)
@@ -229,7 +229,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, words: int, percent: int) ->
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Words()
         for pdf in slices(batches, "text"):
-            own = {_identity(s): s for s in shingle_sets(pdf["text"].tolist(), words, known) if len(s)}
+            own = {identity(s): s for s in shingle_sets(pdf["text"].tolist(), words, known) if len(s)}
             yield pd.DataFrame({"sid": list(own), "hashes": [s.tobytes() for s in own.values()]})
 
     def with_bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -11,7 +11,7 @@ from plotweave.llm.packing import pack_documents
 from plotweave.llm.simhash import similar_documents
 from plotweave.llm.templates import drop_lines
 from plotweave.llm.toxicity import score_toxicity
-from plotweave.session import scratch
+from plotweave.session import scratch, ship
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of five-word similarity 0.8 or more. Null ids stay."""
-    return _without(docs, similar_documents(docs, 5, 0.8).filter("component_id <> doc_id"))
+    return _without(docs, similar_documents(docs, 5, 80).filter("component_id <> doc_id"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,9 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Null ids are an id like any other: their rows stay or go together."""
+    ids = gone.select(F.col("doc_id").alias("_gone_id")).distinct()
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_gone_id")), "left_anti")
 
 
 STAGES = [
@@ -57,6 +59,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read again."""
+    ship(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = scratch(spark, name)

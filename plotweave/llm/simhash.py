@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotweave.llm.common import cut, drawn, slices, table, texts
+from plotweave.llm.jaccard import Words, identity, shingle_sets, verified, whole_sets
 from plotweave.operators.iterative import components
 
 SHINGLE, DISTANCE, BITS = 4, 4, 64
@@ -219,28 +220,20 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- wide fingerprints, for a similarity instead of a distance --------------------------------------
 #: Bits of a wide fingerprint, bits of a band, and bands that are searched.
-WIDE, BAND, BANDS = 512, 12, 24
-#: Added to the expected distance at the similarity, for the scatter of fingerprints.
-SLACK = 6
+WIDE, BAND, BANDS = 512, 11, 32
+#: Bits of scatter allowed beyond the expected distance at the similarity: more than five standard deviations.
+SLACK = 48
+#: Bins of the shingles' parities.
+BINS = 1024
 
 
 def distance_at(similarity: float, bits: int = WIDE) -> int:
-    """Expected differing bits of two texts of like length whose shingle sets have this Jaccard similarity."""
+    """Differing bits up to which two texts may have this Jaccard similarity of their shingle sets."""
     return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi) + SLACK
 
 
-def wide_simhash(text: str, words: int) -> bytes:
-    """``WIDE``-bit SimHash of the set of ``words``-word shingles (fewer words: the whole sequence; none: zeros)."""
-    parts = text.encode().lower().split()
-    if not parts:
-        return bytes(WIDE // 8)
-    h = np.array([xxhash.xxh3_64_intdigest(p) for p in parts], np.uint64)
-    n, size = max(1, len(h) - words + 1), min(words, len(h))
-    own = np.zeros(n, np.uint64)
-    for k in range(size):
-        own = (own ^ h[k:k + n]) * np.uint64(0x9E3779B97F4A7C15)
-        own ^= own >> np.uint64(29)
-    own = np.unique(own)
+def wide_simhash(own: np.ndarray) -> bytes:
+    """``WIDE``-bit SimHash of a set of hashes (none: zeros)."""
     count = np.zeros(WIDE, np.int64)
     salts = (np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))[None, :]
     for at in range(0, len(own), 1 << 14):
@@ -251,91 +244,137 @@ def wide_simhash(text: str, words: int) -> bytes:
     return np.packbits(2 * count > len(own)).tobytes()
 
 
+def parities(own: np.ndarray) -> bytes:
+    """``BINS`` bits, each the parity of the hashes in a bin: two sets differ in at least as many hashes as bits."""
+    return np.packbits(np.bincount(own >> np.uint64(54), minlength=BINS) & 1 == 1).tobytes()
+
+
 def _band(sigs: np.ndarray, band: int) -> np.ndarray:
     """Bits of one band of each fingerprint (rows of bytes) as numbers."""
     bits = np.unpackbits(sigs, axis=1)[:, band * BAND:(band + 1) * BAND]
     return bits.astype(np.uint64) @ (np.uint64(1) << np.arange(BAND, dtype=np.uint64))
 
 
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``doc_id, component_id`` of every row of ``docs``: groups of texts whose shingle sets are similar, joined by chains.
-
-    Wide fingerprints estimate the similarity within some hundredths. No tree can prune at such distances on all bits, so
-    trees divide by one band each, where similar texts often agree whole: at a similarity of 0.8 a pair misses all
-    ``BANDS`` bands once in forty, at 0.9 practically never. Shards compare all bits and return spanning forests; large
-    ones are cut into blocks that all meet. Nulls, repeats and empty tables as in ``near_duplicates``.
-    """
-    spark = docs.sparkSession
-    k = distance_at(similarity)
-
-    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in slices(batches, "text"):
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "sig": [wide_simhash(t, words) for t in pdf["text"]]})
+class Shards:
+    """Vantage-point trees, one a band, and the sizes of their large shards."""
 
-    prints = cut(texts(docs).mapInPandas(made, "doc_id long, sig binary").withColumn("id", F.xxhash64("sig")))
-    points = cut(prints.groupBy("id", "sig").agg(F.min("doc_id").alias("least")))
-    n = points.count()
-    sample = drawn(points, n, SAMPLE // 4, "id").select("sig").toArrow()["sig"].to_pylist()
-    known = _rows(sample)
-    shards = min(n / SHARD, len(sample) / 8)
-    forest = spark.sparkContext.broadcast([Tree(_band(known, i), (1 << BAND) - 1, 0, shards) for i in range(BANDS)])
+    def __init__(self, points: DataFrame):
+        spark = points.sparkSession
+        n = points.count()
+        known = _rows(drawn(points, n, SAMPLE // 4, "sid").select("sig").toArrow()["sig"].to_pylist())
+        shards = min(n / SHARD, len(known) / 8)
+        self.forest = spark.sparkContext.broadcast([Tree(_band(known, i), (1 << BAND) - 1, 0, shards) for i in range(BANDS)])
 
-    def homes(sigs: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    def homes(self, sigs: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """Shard of each fingerprint, for each band."""
-        for i, tree in enumerate(forest.value):
+        for i, tree in enumerate(self.forest.value):
             at = np.zeros(len(sigs), np.int32)
             for shard, rows, _ in tree.visits(_band(sigs, i)):
                 at[rows] = shard
             yield i, at
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for i, at in homes(_rows(pdf["sig"])):
-                shard, size = np.unique(at, return_counts=True)
-                yield pd.DataFrame({"band": np.int32(i), "shard": shard, "n": size})
-
-    spread = points.select("id", "sig").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
-    sizes = spread.mapInPandas(counted, "band int, shard int, n long").groupBy("band", "shard").agg(F.sum("n").alias("n"))
-    large = {(r[0], r[1]): -(-r[2] // SIDE) for r in sizes.filter(F.col("n") > SIDE).collect()}  # at most all shards of all trees
+    def candidates(self, points: DataFrame, percent: int, nearest: bool) -> DataFrame:
+        """``src, dst`` that meet in a shard, differ in ``part`` and may be similar by size, fingerprint and parities.
+
+        ``points``: ``sid, n, part, sig, bits``. ``nearest`` keeps only the likeliest partner of each row in a shard.
+        """
+        spark, homes, k = points.sparkSession, self.homes, distance_at(percent / 100)
+        spread = points.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "sid")
+
+        def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for i, at in homes(_rows(pdf["sig"])):
+                    shard, size = np.unique(at, return_counts=True)
+                    yield pd.DataFrame({"band": np.int32(i), "shard": shard, "n": size})
+
+        sizes = spread.mapInPandas(counted, "band int, shard int, n long").groupBy("band", "shard").agg(F.sum("n").alias("n"))
+        large = {(r[0], r[1]): -(-r[2] // SIDE) for r in sizes.filter(F.col("n") > SIDE).collect()}  # at most all shards of all trees
+
+        def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                ids = pdf["sid"].to_numpy().astype(np.int64)
+                for band, shard in homes(_rows(pdf["sig"])):
+                    blocks = np.array([large.get((band, s), 1) for s in shard.tolist()])
+                    row = np.repeat(np.arange(len(ids)), blocks)
+                    other = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                    mine = (ids.view(np.uint64) % blocks.astype(np.uint64)).astype(np.int64)[row]
+                    place = {"band": np.int32(band), "shard": shard[row], "a": np.minimum(mine, other).astype(np.int32), "b": np.maximum(mine, other).astype(np.int32)}
+                    yield pd.DataFrame({**place, **{c: pdf[c].to_numpy()[row] for c in ("sid", "n", "part", "sig", "bits")}})
+
+        def met(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("n", kind="stable")
+            sig, bits = _rows(pdf["sig"]).view(np.uint64), _rows(pdf["bits"], BINS).view(np.uint64)
+            ids, n, part = (pdf[c].to_numpy().astype(np.int64) for c in ("sid", "n", "part"))
+            out = []
+            for at in range(0, len(ids), 128):
+                i = np.arange(at, min(at + 128, len(ids)))
+                j = np.arange(*np.searchsorted(n, [-(-n[i[0]] * percent // 100), n[i[-1]] * 100 // percent + 1]))
+                may = (part[i][:, None] != part[j][None, :]) & (np.minimum(n[i][:, None], n[j]) * 100 >= np.maximum(n[i][:, None], n[j]) * percent)
+                apart = np.zeros(may.shape, np.int16)
+                for w in range(sig.shape[1]):
+                    apart += np.bitwise_count(sig[i, w][:, None] ^ sig[j, w][None, :])
+                x, y = np.nonzero(may & (apart <= k))
+                x, y = i[x], j[y]
+                odd = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+                ok = odd <= (n[x] + n[y]) * (100 - percent) // (100 + percent)
+                x, y, odd = x[ok], y[ok], odd[ok]
+                if nearest:
+                    order = np.lexsort((odd, x))
+                    first = order[np.concatenate([[True], x[order][1:] != x[order][:-1]])] if len(x) else order
+                    x, y = x[first], y[first]
+                out.append(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])], axis=1))
+            return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["src", "dst"])
+
+        schema = "band int, shard int, a int, b int, sid long, n long, part long, sig binary, bits binary"
+        rows = spread.mapInPandas(routed, schema)
+        return rows.groupBy("band", "shard", "a", "b").applyInPandas(met, "src long, dst long").distinct()
+
+
+def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """``doc_id, component_id`` of every row of ``docs``: groups of texts whose shingle sets have a Jaccard similarity of
+    ``percent`` or more, joined by chains.
+
+    No tree can prune at such distances on all bits of a wide fingerprint, so trees divide by one band each, where
+    similar texts often agree whole; a pair at the limit misses all ``BANDS`` bands about once in 300. In a shard
+    pairs must pass a wide margin on the fingerprints and a bound on the difference (parities of the shingles), and the
+    whole shingle sets decide. A first round takes the likeliest partner of each text, which joins large families; a second one
+    all pairs between different components, of the texts that had a partner at all. Large shards are cut into blocks that all meet.
+
+    Empty sets (null and wordless texts) are one group, repeated rows and equal texts too; ``component_id`` is null only
+    if all ids of the group are. Texts are taken whole, an empty table gives an empty result.
+    """
 
-    def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ids = pdf["id"].to_numpy().astype(np.int64)
-            for band, shard in homes(_rows(pdf["sig"])):
-                blocks = np.array([large.get((band, s), 1) for s in shard.tolist()])
-                row = np.repeat(np.arange(len(ids)), blocks)
-                other = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                mine = (ids.view(np.uint64) % blocks.astype(np.uint64)).astype(np.int64)[row]
-                yield pd.DataFrame({
-                    "band": np.int32(band), "shard": shard[row], "a": np.minimum(mine, other).astype(np.int32),
-                    "b": np.maximum(mine, other).astype(np.int32), "id": ids[row], "sig": pdf["sig"].to_numpy()[row],
-                })
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = Words()
+        for pdf in slices(batches, "text"):
+            sets = list(shingle_sets(pdf["text"].tolist(), words, known))
+            yield pd.DataFrame({
+                "doc_id": pdf["doc_id"].astype("Int64"), "sid": [identity(s) for s in sets], "n": [len(s) for s in sets],
+                "sig": [wide_simhash(s) for s in sets], "bits": [parities(s) for s in sets],
+            })
+
+    prints = cut(texts(docs).mapInPandas(made, "doc_id long, sid long, n long, sig binary, bits binary"))
+    points = prints.groupBy("sid").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "sig", "bits")])
+    points = cut(points.withColumn("part", F.col("sid")))
+    shards = Shards(points)
+    first = cut(shards.candidates(points.filter("n > 0"), percent, True))
+    some = cut(first.select(F.col("src").alias("sid")).union(first.select("dst")).distinct())
+    sets = cut(whole_sets(docs, some, words, percent))
+    found = cut(verified(first, sets, percent))
+    parts = _components(found).withColumnRenamed("component", "_part")
+    left = points.join(some, "sid", "left_semi").join(parts, "sid", "left").withColumn("part", F.coalesce("_part", "sid")).drop("_part")
+    more = shards.candidates(left, percent, False).join(first, ["src", "dst"], "left_anti")
+    found = found.union(cut(verified(more, sets, percent)))
+    labelled = points.select("sid", "least").join(_components(found), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    labelled = cut(labelled)
+    least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = labelled.select("sid", "component").join(least, "component").select("sid", "component_id")
+    return prints.select("doc_id", "sid").join(named, "sid").select("doc_id", "component_id")
 
-    def joined(pdf: pd.DataFrame) -> pd.DataFrame:
-        words_ = _rows(pdf["sig"]).view(np.uint64)
-        ids = pdf["id"].to_numpy().astype(np.int64)
 
-        def near() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for at in range(0, len(ids), 128):
-                d = np.zeros((min(128, len(ids) - at), len(ids)), np.uint16)
-                for w in range(words_.shape[1]):
-                    d += np.bitwise_count(words_[at:at + 128, w][:, None] ^ words_[None, :, w])
-                i, j = np.nonzero(d <= k)
-                yield i + at, j
-
-        label = _forest(ids, near())
-        far = label != np.arange(len(ids))
-        return pd.DataFrame({"src": ids[label[far]], "dst": ids[far]})
-
-    rows = spread.mapInPandas(routed, "band int, shard int, a int, b int, id long, sig binary")
-    edges = cut(rows.groupBy("band", "shard", "a", "b").applyInPandas(joined, "src long, dst long").distinct())
-    linked = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
-    parts = components(linked, edges, "id")
-    labelled = points.select("id", "least").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    found = labelled.select("id", "component").join(least, "component").select("id", "component_id").distinct()
-    return prints.join(found, "id").select("doc_id", "component_id")
+def _components(found: DataFrame) -> DataFrame:
+    return components(found.select(F.col("src").alias("sid")).union(found.select("dst")).distinct(), found, "sid")
 
 
-def _rows(sigs) -> np.ndarray:
-    return np.frombuffer(b"".join(map(bytes, sigs)), np.uint8).reshape(-1, WIDE // 8)
+def _rows(sigs, bits: int = WIDE) -> np.ndarray:
+    return np.frombuffer(b"".join(map(bytes, sigs)), np.uint8).reshape(-1, bits // 8)
