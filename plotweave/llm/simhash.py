@@ -220,16 +220,19 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- wide fingerprints, for a similarity instead of a distance --------------------------------------
 #: Bits of a wide fingerprint, bits of a band, and bands that are searched.
-WIDE, BAND, BANDS = 512, 11, 32
-#: Bits of scatter allowed beyond the expected distance at the similarity: more than five standard deviations.
-SLACK = 48
+WIDE, BAND, BANDS = 320, 11, 24
+#: Bits that all pairs of a shard are compared on first, and standard deviations allowed beyond the expected distance.
+FIRST, SLACK = 128, 5.0
+#: Texts aimed at in a shard.
+WIDE_SHARD = 1024
 #: Bins of the shingles' parities.
 BINS = 1024
 
 
 def distance_at(similarity: float, bits: int = WIDE) -> int:
     """Differing bits up to which two texts may have this Jaccard similarity of their shingle sets."""
-    return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi) + SLACK
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(np.ceil(bits * p + SLACK * np.sqrt(bits * p * (1 - p))))
 
 
 def wide_simhash(own: np.ndarray) -> bytes:
@@ -262,7 +265,7 @@ class Shards:
         spark = points.sparkSession
         n = points.count()
         known = _rows(drawn(points, n, SAMPLE // 4, "sid").select("sig").toArrow()["sig"].to_pylist())
-        shards = min(n / SHARD, len(known) / 8)
+        shards = min(n / WIDE_SHARD, len(known) / 8)
         self.forest = spark.sparkContext.broadcast([Tree(_band(known, i), (1 << BAND) - 1, 0, shards) for i in range(BANDS)])
 
     def homes(self, sigs: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -278,7 +281,8 @@ class Shards:
 
         ``points``: ``sid, n, part, sig, bits``. ``nearest`` keeps only the likeliest partner of each row in a shard.
         """
-        spark, homes, k = points.sparkSession, self.homes, distance_at(percent / 100)
+        spark, homes = points.sparkSession, self.homes
+        most, most_first = distance_at(percent / 100), distance_at(percent / 100, FIRST)
         spread = points.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "sid")
 
         def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -311,10 +315,12 @@ class Shards:
                 j = np.arange(*np.searchsorted(n, [-(-n[i[0]] * percent // 100), n[i[-1]] * 100 // percent + 1]))
                 may = (part[i][:, None] != part[j][None, :]) & (np.minimum(n[i][:, None], n[j]) * 100 >= np.maximum(n[i][:, None], n[j]) * percent)
                 apart = np.zeros(may.shape, np.int16)
-                for w in range(sig.shape[1]):
+                for w in range(FIRST // 64):
                     apart += np.bitwise_count(sig[i, w][:, None] ^ sig[j, w][None, :])
-                x, y = np.nonzero(may & (apart <= k))
+                x, y = np.nonzero(may & (apart <= most_first))
                 x, y = i[x], j[y]
+                ok = np.bitwise_count(sig[x] ^ sig[y]).sum(axis=1, dtype=np.int64) <= most
+                x, y = x[ok], y[ok]
                 odd = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
                 ok = odd <= (n[x] + n[y]) * (100 - percent) // (100 + percent)
                 x, y, odd = x[ok], y[ok], odd[ok]
@@ -335,8 +341,8 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
     ``percent`` or more, joined by chains.
 
     No tree can prune at such distances on all bits of a wide fingerprint, so trees divide by one band each, where
-    similar texts often agree whole; a pair at the limit misses all ``BANDS`` bands about once in 300. In a shard
-    pairs must pass a wide margin on the fingerprints and a bound on the difference (parities of the shingles), and the
+    similar texts often agree whole; a pair at the limit misses all ``BANDS`` bands about once in 75, at 0.85 once in
+    1,000. In a shard pairs must pass a wide margin on the fingerprints and a bound on the difference (parities of the shingles), and the
     whole shingle sets decide. A first round takes the likeliest partner of each text, which joins large families; a second one
     all pairs between different components, of the texts that had a partner at all. Large shards are cut into blocks that all meet.
 
@@ -356,14 +362,14 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
     prints = cut(texts(docs).mapInPandas(made, "doc_id long, sid long, n long, sig binary, bits binary"))
     points = prints.groupBy("sid").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "sig", "bits")])
     points = cut(points.withColumn("part", F.col("sid")))
-    shards = Shards(points)
-    first = cut(shards.candidates(points.filter("n > 0"), percent, True))
+    first = cut(Shards(points).candidates(points.filter("n > 0"), percent, True))
     some = cut(first.select(F.col("src").alias("sid")).union(first.select("dst")).distinct())
     sets = cut(whole_sets(docs, some, words, percent))
     found = cut(verified(first, sets, percent))
     parts = _components(found).withColumnRenamed("component", "_part")
     left = points.join(some, "sid", "left_semi").join(parts, "sid", "left").withColumn("part", F.coalesce("_part", "sid")).drop("_part")
-    more = shards.candidates(left, percent, False).join(first, ["src", "dst"], "left_anti")
+    left = cut(left)
+    more = Shards(left).candidates(left, percent, False).join(first, ["src", "dst"], "left_anti")
     found = found.union(cut(verified(more, sets, percent)))
     labelled = points.select("sid", "least").join(_components(found), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     labelled = cut(labelled)

@@ -117,7 +117,7 @@ def jaccard(a, b, n=5):
 
 
 def test_similar_documents_around_the_limit(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "SHARD", 60)
+    monkeypatch.setattr(simhash, "WIDE_SHARD", 60)
     monkeypatch.setattr(simhash, "SIDE", 50)
     rnd = random.Random(8)
     words = [f"v{i}" for i in range(2000)]
