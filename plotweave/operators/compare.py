@@ -23,7 +23,10 @@ from plotweave.session import cut
 C = F.col
 ID = ["layout_id", "detection_id"]
 FIELDS = ["row_id", "page", "cls", "anchor_text", "coord_text", "coord_value", "fahrtrichtung", "cx", "cy"]
+#: Possible pairs of a connected group that one task assigns; larger groups are assigned by rounds over all tasks.
 TASK_EDGES = 200_000
+#: Scores count in steps of one part of this.
+GRID = 1_000_000
 
 
 def elements(df: DataFrame) -> DataFrame:
@@ -183,51 +186,71 @@ def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
     olds, i = np.unique(pdf["old_id"].to_numpy(), return_inverse=True)
     news, j = np.unique(pdf["new_id"].to_numpy(), return_inverse=True)
     gain = np.zeros((len(olds), len(news)))
-    gain[i, j] = pdf["score"].to_numpy()
+    gain[i, j] = np.rint(pdf["score"].to_numpy() * GRID)
     flip = gain.shape[0] > gain.shape[1]
     pairs = _best_assignment(gain.T if flip else gain)
     pairs = [(b, a) for a, b in pairs] if flip else pairs
-    rows = [(pdf["layout_id"].iloc[0], olds[a], news[b], gain[a, b]) for a, b in pairs if gain[a, b] > 0]
+    score = dict(zip(zip(i.tolist(), j.tolist()), pdf["score"].tolist(), strict=True))
+    rows = [(pdf["layout_id"].iloc[0], olds[a], news[b], score[a, b]) for a, b in pairs if gain[a, b] > 0]
     return pd.DataFrame(rows, columns=["layout_id", "old_id", "new_id", "score"])
 
 
 PAIR_SCHEMA = "layout_id LONG, old_id STRING, new_id STRING, score DOUBLE"
 
 
-def auction(edges: DataFrame, steps_per_unit: int = 10_000) -> DataFrame:
-    """Distributed assignment for groups too large for one task.
+def auction(edges: DataFrame, steps_per_unit: int = GRID) -> DataFrame:
+    """The assignment with the largest total of scores in steps of 1 / ``steps_per_unit``, by rounds of bids over all tasks.
 
-    Old rows bid for new ones; a bid raises the price by the lead over the second choice plus
-    epsilon, the highest bid owns the row, and nobody bids above what the pair is worth. Prices start
-    at zero and only owned rows have one, so the total is within ``n`` times epsilon of the best.
+    To stay alone is an object of each old row, worth nothing, and every new row has a bidder of its own that takes it,
+    or the alone object of a candidate, for nothing. So all bidders can be served, the total is that of the pairs,
+    and prices may start anywhere. Each phase serves all bidders anew at the prices of the phase before: a bid raises
+    a price by the lead over the second choice plus epsilon, the highest bid owns the object. An assignment at epsilon
+    is within bidders times epsilon of the best; in the last phase that is less than a step, hence it is the best.
     """
-    eps = 1.0 / steps_per_unit
-    prices = edges.select("layout_id", "new_id").distinct().withColumn("price", F.lit(0.0))
-    owned = edges.select("layout_id", "old_id", "new_id", "score").limit(0)
-    edges, prices, owned = cut(edges), cut(prices), cut(owned)
-    while True:
-        idle = edges.join(owned.select("layout_id", "old_id"), ["layout_id", "old_id"], "left_anti")
-        offer = idle.join(prices, ["layout_id", "new_id"]).withColumn("net", C("score") - C("price")).filter(C("net") > 0)
-        two = offer.groupBy("layout_id", "old_id").agg(
-            F.max(F.struct("net", "new_id", "score", "price")).alias("b"))
-        second = offer.join(two.select("layout_id", "old_id", C("b.new_id").alias("best")), ["layout_id", "old_id"]).filter(C("new_id") != C("best"))
-        second = second.groupBy("layout_id", "old_id").agg(F.max("net").alias("next"))
-        bids = two.join(second, ["layout_id", "old_id"], "left").select(
-            "layout_id", "old_id", C("b.new_id").alias("new_id"), C("b.score").alias("score"),
-            (C("b.price") + C("b.net") - F.coalesce("next", F.lit(0.0)) + eps).alias("bid"))
-        won = cut(bids.groupBy("layout_id", "new_id").agg(F.max(F.struct("bid", "old_id", "score")).alias("m")))
-        if won.isEmpty():
-            return owned
-        prices = cut(prices.join(won, ["layout_id", "new_id"], "left").select("layout_id", "new_id", F.coalesce("m.bid", "price").alias("price")))
-        kept = owned.join(won.select("layout_id", "new_id"), ["layout_id", "new_id"], "left_anti")
-        owned = cut(kept.unionByName(won.select("layout_id", C("m.old_id").alias("old_id"), "new_id", C("m.score").alias("score"))))
+    edges = cut(edges.select("layout_id", "old_id", "new_id", "score").withColumn("value", F.round(C("score") * steps_per_unit).cast("long")).filter("value > 0"))
+    size = edges.agg(F.count_distinct("layout_id", "old_id").alias("a"), F.count_distinct("layout_id", "new_id").alias("b"), F.max("value").alias("m")).first()
+    if not size.m:
+        return edges.drop("value")
+    unit = size.a + size.b + 1
+    old, alone = F.concat(F.lit("o:"), "old_id"), F.concat(F.lit("o:"), "old_id")
+    new, keeper = F.concat(F.lit("n:"), "new_id"), F.concat(F.lit("n:"), "new_id")
+    none = F.lit(0).cast("long")
+
+    def arcs(who: Column, what: Column, value: Column) -> DataFrame:
+        return edges.select("layout_id", who.alias("bidder"), what.alias("object"), value.alias("value"))
+
+    all_ = arcs(old, new, C("value") * unit).union(arcs(old, alone, none)).union(arcs(keeper, new, none)).union(arcs(keeper, alone, none))
+    all_ = cut(all_.distinct())
+    bidder, thing = ["layout_id", "bidder"], ["layout_id", "object"]
+    prices = cut(all_.select(*thing).distinct().withColumn("price", none))
+    eps = size.m * unit
+    while eps > 1:
+        eps = max(1, eps // 32)
+        owned = all_.select(*bidder, "object").limit(0)
+        while True:
+            idle = all_.join(owned.select(*bidder), bidder, "left_anti")
+            offers = idle.join(prices, thing).withColumn("net", C("value") - C("price"))
+            two = offers.groupBy(*bidder).agg(F.max(F.struct("net", "object", "price")).alias("b"), F.count(F.lit(1)).alias("k"))
+            rest = offers.join(two.select(*bidder, C("b.object").alias("_best")), bidder).filter(C("object") != C("_best"))
+            second = rest.groupBy(*bidder).agg(F.max("net").alias("next"))
+            bids = two.join(second, bidder).select(*bidder, C("b.object").alias("object"), (C("b.price") + C("b.net") - C("next") + eps).alias("bid"))
+            won = cut(bids.groupBy(*thing).agg(F.max(F.struct("bid", "bidder")).alias("m")))
+            if won.isEmpty():
+                break
+            prices = cut(prices.join(won, thing, "left").select(*thing, F.coalesce("m.bid", "price").alias("price")))
+            kept = owned.join(won.select(*thing), thing, "left_anti")
+            owned = cut(kept.select(*bidder, "object").union(won.select("layout_id", C("m.bidder").alias("bidder"), "object")))
+    pairs = owned.select("layout_id", F.expr("substr(bidder, 3)").alias("old_id"), F.expr("substr(object, 3)").alias("new_id"), F.left("bidder", F.lit(2)).alias("_a"), F.left("object", F.lit(2)).alias("_b"))
+    pairs = pairs.filter("_a = 'o:' AND _b = 'n:'").select("layout_id", "old_id", "new_id")
+    return edges.join(pairs, ["layout_id", "old_id", "new_id"]).select("layout_id", "old_id", "new_id", "score")
 
 
 def assign(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     """One-to-one pairs with the largest total score.
 
     Rows that share no candidate do not influence each other, so each connected group is solved on
-    its own: small ones exactly in one task, larger ones by the distributed auction.
+    its own: small ones in one task, larger ones by the distributed auction. Both give the best total in steps of
+    1 / ``GRID``; where several assignments have it, either may take any of them.
     """
     edges = cut(edges)
     old, new = F.struct("layout_id", F.lit(0).alias("s"), C("old_id").alias("id")), F.struct("layout_id", F.lit(1).alias("s"), C("new_id").alias("id"))

@@ -56,3 +56,27 @@ def test_adaptive_links_come_after_the_claims(spark):
     got = {r.row_id: (r.coord_id, r.how) for r in linking.assign_coordinates(a, c).collect()}
     assert {i: got.get(i) for i in range(1, 5)} == {i: (100 + i, "claim") for i in range(1, 5)}
     assert got[5] == (105, "adaptive")
+
+
+def test_auction_finds_the_best_total(spark):
+    rnd = random.Random(6)
+    rows = []
+    for plan in (1, 2):
+        for a in range(4):
+            for b in rnd.sample(range(3), rnd.randint(1, 3)):
+                rows.append((plan, f"a{a}", f"b{b}", rnd.choice([0.3, 0.5, 0.5, 0.7, 0.95])))
+    edges = spark.createDataFrame(rows, "layout_id long, old_id string, new_id string, score double")
+    found = compare.auction(edges, 20).collect()
+    for plan in (1, 2):
+        value = {(a, b): round(s * 20) for p, a, b, s in rows if p == plan}
+
+        def best(a=0, taken=frozenset()):
+            if a == 4:
+                return 0
+            return max([best(a + 1, taken), *[v + best(a + 1, taken | {b}) for (x, b), v in value.items() if x == f"a{a}" and b not in taken]])
+
+        own = [r for r in found if r.layout_id == plan]
+        assert len({r.old_id for r in own}) == len({r.new_id for r in own}) == len(own)
+        assert sum(value[r.old_id, r.new_id] for r in own) == best()
+    by_task = compare.assign(edges).collect()
+    assert round(sum(r.score for r in by_task), 6) == round(sum(r.score for r in found), 6)
