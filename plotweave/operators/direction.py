@@ -15,6 +15,7 @@ from plotweave.functions import text as T
 from plotweave.operators import ordered
 from plotweave.operators.linking import raw_angle
 from plotweave.operators.spatial import KEYS, near_pairs, nearest, places
+from plotweave.session import cut
 
 C = F.col
 NEED = ["layout_id", "page", "row_id"]
@@ -258,7 +259,7 @@ def merge_signals(df: DataFrame, radius: DataFrame, stop_coords: DataFrame) -> D
     ``stop_coords(layout_id, page, name, stop_coord)`` are coordinates that belong to a stop point.
     Adds ``hidden``, ``merged`` and ``positions`` (role -> centre and row).
     """
-    s = signal_clusters(df, radius)
+    s = cut(signal_clusters(df, radius))
     size = s.groupBy(*CLUSTER).agg(F.count(F.lit(1)).alias("_size"))
     s = s.join(size.filter(C("_size") > 1), CLUSTER).join(stop_coords, [*KEYS, "name"], "left")
     coord, fahr = F.coalesce("coord_text", F.lit("")) != "", F.coalesce("fahrtrichtung", F.lit("")) != ""

@@ -173,14 +173,14 @@ def g9(t):
 
 
 @query("g10_carry_adjustment", "det sheets", sql=f"""
-WITH q AS (SELECT d.*, width, height, CAST(floor((({TURN} + 45) % 360) / 90) * 90 AS INT) AS quad FROM det d JOIN sheets s ON d.layout_id = s.layout_id AND d.page = s.page WHERE cls IN ('signal', 'gks_gesteuert')),
+WITH q AS (SELECT d.*, width, height, CAST(floor((({TURN} + 45) % 360) / 90) * 90 AS INT) AS quad FROM det d JOIN sheets s ON d.layout_id = s.layout_id AND d.page = s.page),
 e AS (SELECT *, CASE quad WHEN 90 THEN -3 WHEN 180 THEN -12 WHEN 270 THEN -9 ELSE -8 END AS e1, CASE quad WHEN 90 THEN -12 WHEN 180 THEN -9 WHEN 270 THEN -8 ELSE -3 END AS e2,
   CASE quad WHEN 90 THEN 9 WHEN 180 THEN 8 WHEN 270 THEN 3 ELSE 12 END AS e3, CASE quad WHEN 90 THEN 8 WHEN 180 THEN 3 WHEN 270 THEN 12 ELSE 9 END AS e4 FROM q)
 SELECT layout_id, row_id, greatest(0, least(x1 + e1, width)) AS bx1, greatest(0, least(y1 + e2, height)) AS by1, greatest(0, least(x2 + e3, width)) AS bx2, greatest(0, least(y2 + e4, height)) AS by2 FROM e
 WHERE greatest(0, least(x2 + e3, width)) > greatest(0, least(x1 + e1, width)) AND greatest(0, least(y2 + e4, height)) > greatest(0, least(y1 + e2, height))""")
 def g10(t):
-    # one edge adjustment made on an upright symbol, applied to every symbol of two classes
-    d = t.det.filter(C("cls").isin("signal", "gks_gesteuert")).join(t.sheets, ["layout_id", "page"])
+    # one edge adjustment made on an upright symbol, applied to every symbol
+    d = t.det.join(t.sheets, ["layout_id", "page"])
     e = G.turn_edges((F.lit(-8.0), F.lit(-3.0), F.lit(12.0), F.lit(9.0)), F.lit(0.0), C("angle"))
     moved = tuple(c + x for c, x in zip(G.box(), e))
     x1, y1, x2, y2, _ = G.clamp_region(moved, C("width"), C("height"))
