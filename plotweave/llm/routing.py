@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -47,7 +48,8 @@ class Words:
         self.n = len(self.parts)
 
     def grams(self, m: int) -> np.ndarray:
-        h = np.fromiter(map(xxhash.xxh3_64_intdigest, self.parts), np.uint64, self.n)
+        # 32 bits a word are enough: equal hashes of different grams only bring more pieces together
+        h = np.fromiter(map(crc32, self.parts), np.uint64, self.n)
         out = h[:self.n - m + 1].copy()
         for k in range(1, m):
             out = out * C1 + h[k:self.n - m + 1 + k]
