@@ -111,7 +111,16 @@ def drop_lines(docs: DataFrame, depth: int = DEPTH, support: int = SUPPORT, cons
     text = F.coalesce(F.col("text"), F.lit(""))
     gone = dropped_lines(docs, depth, support, constant).select(*[F.col(c).alias(f"_gone_{c}") for c in ("d", "r", "lines")])
     keyed = docs.select(*own, F.coalesce("doc_id", F.lit(-(2**63))).alias("_gone_d"), F.xxhash64(text).alias("_gone_r"))
-    joined = keyed.join(gone, ["_gone_d", "_gone_r"], "left")
+    touched = docs.sparkSession.sparkContext.broadcast(bit_table(gone.select(F.xxhash64("_gone_d", "_gone_r").alias("key")), "key"))
+
+    @F.pandas_udf("boolean")
+    def may_lose(key: pd.Series) -> pd.Series:
+        return pd.Series(passes(touched.value, key.to_numpy().astype("int64").view("uint64")))
+
+    # only documents that lose lines are shuffled, and in the same way at every size
+    loses = may_lose(F.xxhash64("_gone_d", "_gone_r"))
+    joined = keyed.filter(loses).join(gone.hint("merge"), ["_gone_d", "_gone_r"], "left").select(*own, "_gone_lines")
+    joined = joined.union(keyed.filter(~loses).select(*own, F.lit(None).cast("array<int>").alias("_gone_lines")))
     split = F.split("text", "\n", -1)
     kept = F.filter(split, lambda x, i: ~F.array_contains("_gone_lines", i))
     left = F.when(F.col("_gone_lines").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
