@@ -5,6 +5,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -197,67 +200,108 @@ def cluster_radius(df: DataFrame) -> DataFrame:
     return count.join(large, "layout_id", "left").select("layout_id", "signals", r.cast("int").alias("radius"))
 
 
-def _bands(spots: DataFrame, group: list[str], value: str, out: str) -> DataFrame:
-    """Number the stretches of a group that are further apart than its radius along ``value``.
+SPOTS, ROW_HEIGHT = 65536, 16.0
+GROUP = [*KEYS, "name", "stretch"]
+SCAN = "layout_id LONG, page INT, name STRING, stretch LONG, x DOUBLE, y DOUBLE, n LONG, radius DOUBLE, more BOOLEAN, state BOOLEAN, cluster INT, made INT"
+
 
-    Positions of one name on one page are few: they were reduced to distinct pixel positions.
+def _ranges(spots: DataFrame, most: int) -> DataFrame:
+    """Stretch of every position, and the round in which its range of the stretch is scanned.
+
+    Rows of ``ROW_HEIGHT`` pixels are counted first, so only they are ordered inside a name: a stretch ends where the next row
+    is further than the radius, and a range takes whole rows until it has ``most`` positions.
+    """
+    keys = [*KEYS, "name"]
+    d = spots.withColumn("_row", F.floor(C("y") / ROW_HEIGHT))
+    rows = d.groupBy(*keys, "_row").agg(F.min("y").alias("lo"), F.max("y").alias("hi"), F.count(F.lit(1)).alias("k"), F.max("radius").alias("r"))
+    w = Window.partitionBy(*keys).orderBy("_row")
+    rows = rows.withColumn("_cut", F.when(C("lo") - F.lag("hi").over(w) > C("r"), 1).otherwise(0))
+    rows = rows.withColumn("stretch", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    before = Window.partitionBy(*GROUP).orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("round", F.floor(F.coalesce(F.sum("k").over(before), F.lit(0)) / most))
+    rows = rows.withColumn("more", C("round") < F.max("round").over(Window.partitionBy(*GROUP)))
+    return d.join(rows.select(*keys, "_row", "stretch", "round", "more"), [*keys, "_row"]).drop("_row")
+
+
+def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sequential clustering over positions sorted by group, y and x: nearest running centre within the radius, or a new one.
+
+    A centre that has fallen behind by more than the radius can win no later position and is forgotten, so only the open
+    centres are held. Rows with ``state`` are open centres (``x``, ``y`` are sums) of the range before; a group with more
+    ranges to come ends with such rows.
     """
-    w = Window.partitionBy(*group).orderBy(value)
-    cutoff = F.when(C(value) - F.lag(value).over(w) > C("radius"), 1).otherwise(0)
-    return spots.withColumn("_cut", cutoff).withColumn(out, F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_cut")
-
-
-def _cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Sequential clustering of weighted positions: nearest running centre within the radius, or a new one."""
-    pdf = pdf.sort_values(["y", "x"])
-    centres: list[list[float]] = []
-    out = []
-    for x, y, n, radius in zip(pdf["x"], pdf["y"], pdf["n"], pdf["radius"]):
-        best, best_d = None, float("inf")
-        for i, (sx, sy, k) in enumerate(centres):
-            d = ((x - sx / k) ** 2 + (y - sy / k) ** 2) ** 0.5
-            if d < best_d:
-                best, best_d = i, d
-        if best is None or best_d >= radius:
-            best = len(centres)
-            centres.append([0.0, 0.0, 0])
-        c = centres[best]
-        c[0] += x * n
-        c[1] += y * n
-        c[2] += n
-        out.append(best)
-    return pdf.assign(cluster=out)
-
-
-def signal_clusters(df: DataFrame, radius: DataFrame) -> DataFrame:
-    """Cluster number of every named signal among its namesakes on the page.
-
-    Only distinct positions go to Python, one name and one connected stretch at a time. Rows at one
-    position always share a cluster, and clusters cannot reach over a gap wider than the radius.
+    group, centres, made, more, radius = None, [], 0, False, 0.0
+
+    def left() -> list[tuple]:
+        return [(*group, sx, sy, n, radius, False, True, c, made) for sx, sy, n, c in centres] if more else []
+
+    for pdf in batches:
+        out = []
+        keys = zip(pdf["layout_id"], pdf["page"], pdf["name"], pdf["stretch"], strict=True)
+        rows = zip(pdf["x"], pdf["y"], pdf["n"], pdf["radius"], pdf["more"], pdf["state"], pdf["cluster"], pdf["made"], strict=True)
+        for key, (x, y, n, r, goes_on, state, cluster, so_far) in zip(keys, rows, strict=True):
+            if key != group:
+                out += left()
+                group, centres, made, more, radius = key, [], 0, False, r
+            if state:
+                centres.append([x, y, n, int(cluster)])
+                made = int(so_far)
+                continue
+            more = goes_on
+            centres = [c for c in centres if not y - c[1] / c[2] > radius * 1.001]
+            best, best_d = None, radius
+            for c in centres:
+                d = ((x - c[0] / c[2]) ** 2 + (y - c[1] / c[2]) ** 2) ** 0.5
+                if d < best_d:
+                    best, best_d = c, d
+            if best is None:
+                best = [0.0, 0.0, 0, made]
+                centres.append(best)
+                made += 1
+            best[0] += x * n
+            best[1] += y * n
+            best[2] += n
+            out.append((*key, x, y, n, radius, goes_on, False, best[3], made))
+        yield pd.DataFrame(out, columns=[*GROUP, "x", "y", "n", "radius", "more", "state", "cluster", "made"])
+    if rest := left():
+        yield pd.DataFrame(rest, columns=[*GROUP, "x", "y", "n", "radius", "more", "state", "cluster", "made"])
+
+
+def signal_clusters(df: DataFrame, radius: DataFrame, most: int = SPOTS) -> DataFrame:
+    """Cluster number of every named signal among its namesakes of one stretch of the page.
+
+    Rows at one position always share a cluster, so only distinct positions are scanned, from top to bottom. A stretch is
+    scanned in ranges of about ``most`` positions, one a round: a round scans the next range of all stretches at once and
+    hands its open centres to the next. Rows without a page or a position belong to no cluster.
     """
     name = T.strip(C("anchor_text"))
     s = df.filter((C("cls") == "signal") & T.filled(C("anchor_text"))).withColumn("name", name)
-    spots = s.groupBy(*KEYS, "name", C("cx").alias("x"), C("cy").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    spots = s.dropna(subset=["page", "cx", "cy"]).groupBy(*KEYS, "name", C("cx").alias("x"), C("cy").alias("y")).agg(F.count(F.lit(1)).alias("n"))
     many = spots.groupBy(*KEYS, "name").agg(F.sum("n").alias("k")).filter(C("k") > 1)
     spots = spots.join(many, [*KEYS, "name"], "left_semi").join(radius.select("layout_id", C("radius").cast("double")), "layout_id")
-    spots = _bands(spots, [*KEYS, "name"], "y", "band_y")
-    spots = _bands(spots, [*KEYS, "name", "band_y"], "x", "band_x")
-    group = [*KEYS, "name", "band_y", "band_x"]
-    schema = "layout_id LONG, page INT, name STRING, x DOUBLE, y DOUBLE, n LONG, radius DOUBLE, band_y LONG, band_x LONG, cluster INT"
-    cols = ["layout_id", "page", "name", "x", "y", "n", "radius", "band_y", "band_x"]
-    c = spots.select(*cols).groupBy(*group).applyInPandas(lambda pdf: _cluster(pdf)[[*cols, "cluster"]], schema)
-    c = c.select(*group, C("x").alias("cx"), C("y").alias("cy"), "cluster")
-    return s.join(c, [*KEYS, "name", "cx", "cy"])
+    empty = [F.lit(False).alias("state"), F.lit(None).cast("int").alias("cluster"), F.lit(0).alias("made")]
+    spots = cut(_ranges(spots, most).select(*GROUP, "x", "y", "n", "radius", "more", *empty, "round"))
+    last = spots.agg(F.max("round")).first()[0] or 0
+    steps: list[DataFrame] = []
+    for r in range(last + 1):
+        part = spots.filter(C("round") == r).drop("round")
+        if steps:
+            part = part.unionByName(steps[-1].filter("state"))
+        part = part.repartition(*GROUP).sortWithinPartitions(*GROUP, F.desc("state"), "cluster", "y", "x")
+        steps.append(cut(part.mapInPandas(_scan, SCAN)))
+    found = reduce(DataFrame.unionByName, [d.filter("NOT state") for d in steps])
+    return s.join(found.select(*GROUP, C("x").alias("cx"), C("y").alias("cy"), "cluster"), [*KEYS, "name", "cx", "cy"])
 
 
-CLUSTER = [*KEYS, "name", "band_y", "band_x", "cluster"]
+CLUSTER = [*GROUP, "cluster"]
+BOX = ["x1", "y1", "x2", "y2"]
 
 
 def merge_signals(df: DataFrame, radius: DataFrame, stop_coords: DataFrame) -> DataFrame:
     """One visible row per repeated signal: the row with the coordinate, the direction another row knows.
 
     ``stop_coords(layout_id, page, name, stop_coord)`` are coordinates that belong to a stop point.
-    Adds ``hidden``, ``merged`` and ``positions`` (role -> centre and row).
+    Adds ``hidden``, ``merged`` and ``positions`` (role -> centre, box and row).
     """
     s = cut(signal_clusters(df, radius))
     size = s.groupBy(*CLUSTER).agg(F.count(F.lit(1)).alias("_size"))
@@ -269,7 +313,7 @@ def merge_signals(df: DataFrame, radius: DataFrame, stop_coords: DataFrame) -> D
     )
     km = F.abs(F.replace(C("coord_text"), F.lit(","), F.lit(".")).try_cast("double") - F.replace(C("stop_coord"), F.lit(","), F.lit(".")).try_cast("double"))
     s = s.withColumns({"role": role, "_far": -F.coalesce(km, F.lit(0.0))})
-    turn = F.struct("cy", "cx", "row_id", "fahrtrichtung")
+    turn = F.struct("cy", "cx", "row_id", "fahrtrichtung", *BOX)
 
     def first(r: str, extra: Column | None = None) -> Column:
         return F.min(F.when(C("role") == r if extra is None else (C("role") == r) & extra, turn))
@@ -288,7 +332,7 @@ def merge_signals(df: DataFrame, radius: DataFrame, stop_coords: DataFrame) -> D
 
     def spot(c: str, name: str) -> Column:
         p = primary if c == "p" else C(c)
-        return F.when(p.isNotNull(), F.struct(F.lit(name).alias("key"), F.struct(p["cx"].alias("cx"), p["cy"].alias("cy"), p["row_id"].alias("row_id")).alias("value")))
+        return F.when(p.isNotNull(), F.struct(F.lit(name).alias("key"), F.struct(*[p[v].alias(v) for v in ("cx", "cy", *BOX, "row_id")]).alias("value")))
 
     g = g.select(
         *CLUSTER, primary["row_id"].alias("_primary"), far.alias("_far_pick"), C("c").isNotNull().alias("_has_coord"),

@@ -279,10 +279,44 @@ def stop_coords(t):
     return tr.groupBy(*KEYS, F.trim("signal_text").alias("name")).agg(F.max(F.struct("row_id", "coord_text")).alias("m")).select(*KEYS, "name", C("m.coord_text").alias("stop_coord"))
 
 
-@query("a21_merge_signals")
+NEAR = "sqrt((s.x - c.x / c.n) * (s.x - c.x / c.n) + (s.y - c.y / c.n) * (s.y - c.y / c.n))"
+TURN = "{'cy': cy, 'cx': cx, 'row_id': row_id, 'fahrtrichtung': fahrtrichtung, 'x1': x1, 'y2': y2}"
+# one position a step; cs holds the sums of the centres so far
+MERGED = f"""{RADIUS}, {TRIPLES}, sc AS (SELECT layout_id, page, trim(signal_text) AS name, arg_max(coord_text, row_id) AS stop_coord FROM t6 WHERE coord_text IS NOT NULL GROUP BY ALL),
+sn AS (SELECT *, trim(anchor_text) AS name FROM det WHERE cls = 'signal' AND trim(coalesce(anchor_text, '')) <> ''),
+sp AS (SELECT *, row_number() OVER (PARTITION BY layout_id, page, name ORDER BY y, x) AS k, sum(n) OVER (PARTITION BY layout_id, page, name) AS total FROM (SELECT layout_id, page, name, cx AS x, cy AS y, count(*) AS n FROM sn GROUP BY ALL)),
+so AS MATERIALIZED (SELECT sp.*, CAST(radius AS DOUBLE) AS radius FROM sp JOIN rd ON sp.layout_id = rd.layout_id WHERE total > 1),
+cl AS (SELECT layout_id, page, name, k, x, y, CAST(1 AS BIGINT) AS cluster, [{{'x': x * n, 'y': y * n, 'n': n}}] AS cs FROM so WHERE k = 1
+  UNION ALL SELECT layout_id, page, name, k, x, y, cluster, CASE WHEN cluster > len(cs) THEN list_append(cs, {{'x': x * n, 'y': y * n, 'n': n}})
+    ELSE list_transform(cs, lambda c, i: CASE WHEN i = cluster THEN {{'x': c.x + x * n, 'y': c.y + y * n, 'n': c.n + n}} ELSE c END) END AS cs
+  FROM (SELECT *, CAST(CASE WHEN list_min(ds) < radius THEN list_position(ds, list_min(ds)) ELSE len(cs) + 1 END AS BIGINT) AS cluster
+    FROM (SELECT s.*, cl.cs, list_transform(cl.cs, lambda c: {NEAR}) AS ds FROM cl JOIN so s ON s.layout_id = cl.layout_id AND s.page = cl.page AND s.name = cl.name AND s.k = cl.k + 1))),
+cm AS (SELECT * FROM (SELECT sn.*, cluster, stop_coord, count(*) OVER (PARTITION BY sn.layout_id, sn.page, sn.name, cluster) AS members
+  FROM sn JOIN cl ON sn.layout_id = cl.layout_id AND sn.page = cl.page AND sn.name = cl.name AND sn.cx = cl.x AND sn.cy = cl.y
+  LEFT JOIN sc ON sn.layout_id = sc.layout_id AND sn.page = sc.page AND sn.name = sc.name) WHERE members > 1),
+ro AS (SELECT *, CASE WHEN coalesce(coord_text, '') <> '' THEN CASE WHEN coalesce(fahrtrichtung, '') <> '' THEN 'both' WHEN coord_text IS DISTINCT FROM stop_coord THEN 'coord' ELSE 'stop' END
+    WHEN coalesce(fahrtrichtung, '') <> '' THEN 'direction' ELSE 'stop' END AS role,
+  abs(TRY_CAST(replace(coord_text, ',', '.') AS DOUBLE) - TRY_CAST(replace(stop_coord, ',', '.') AS DOUBLE)) AS km FROM cm),
+pk AS (SELECT layout_id, page, name, cluster, min(CASE WHEN role = 'coord' THEN {TURN} END) AS c, min(CASE WHEN role = 'coord' THEN {{'far': -coalesce(km, 0), 't': {TURN}}} END).t AS cf,
+  max(stop_coord) IS NOT NULL AND count(*) FILTER (role = 'coord') > 0 AND count(*) FILTER (role = 'coord' AND km IS NULL) = 0 AS far,
+  min(CASE WHEN role = 'both' THEN {TURN} END) AS b, min(CASE WHEN role = 'both' AND direction_source = 'gks' THEN {TURN} END) AS bg,
+  min(CASE WHEN role = 'direction' THEN {TURN} END) AS f, min(CASE WHEN role = 'stop' THEN {TURN} END) AS h FROM ro GROUP BY ALL),
+pr AS (SELECT *, coalesce(CASE WHEN far THEN cf ELSE c END, b) AS p, coalesce(f.fahrtrichtung, CASE WHEN c IS NOT NULL THEN bg.fahrtrichtung WHEN bg.row_id = b.row_id THEN b.fahrtrichtung END) AS dir FROM pk),
+mg AS (SELECT ro.layout_id, ro.row_id, ro.row_id = p.row_id AS own, CASE WHEN p IS NULL THEN role = 'stop' ELSE ro.row_id <> p.row_id AND (role <> 'coord' OR far) END AS gone, dir, p, f, pr.h
+  FROM ro JOIN pr ON ro.layout_id = pr.layout_id AND ro.page = pr.page AND ro.name = pr.name AND ro.cluster = pr.cluster)"""
+
+
+@query("a21_merge_signals", sql=f"""WITH RECURSIVE {MERGED}
+SELECT d.layout_id, d.page, d.row_id, d.anchor_text, CASE WHEN own THEN dir ELSE d.fahrtrichtung END AS fahrtrichtung, CASE WHEN own THEN CASE WHEN dir IS NOT NULL THEN 'gks' ELSE 'none' END ELSE d.direction_source END AS direction_source,
+  coalesce(own, FALSE) AS merged, coalesce(gone, FALSE) OR d.hidden AS hidden, CASE WHEN own THEN 1 + CAST(f IS NOT NULL AS INT) + CAST(mg.h IS NOT NULL AS INT) END AS n_positions,
+  CASE WHEN own THEN p.x1 END AS coordinate_x1, CASE WHEN own THEN f.y2 END AS direction_y2, CASE WHEN own THEN mg.h.row_id END AS stop_row
+FROM det d LEFT JOIN mg ON d.layout_id = mg.layout_id AND d.row_id = mg.row_id WHERE d.cls = 'signal'""")
 def a21(t):
     d = D.merge_signals(t.det, D.cluster_radius(t.det), stop_coords(t))
-    return d.filter(C("cls") == "signal").select(*NEED, "anchor_text", "fahrtrichtung", "direction_source", "merged", "hidden", F.size("positions").alias("n_positions"))
+    spot = lambda role, value: C("positions")[role][value]
+    return d.filter(C("cls") == "signal").select(
+        *NEED, "anchor_text", "fahrtrichtung", "direction_source", "merged", "hidden", F.size("positions").alias("n_positions"),
+        spot("coordinate_signal", "x1").alias("coordinate_x1"), spot("fahrtrichtung_signal", "y2").alias("direction_y2"), spot("haltepunkt_signal", "row_id").alias("stop_row"))
 
 
 NEWNAME = "CASE WHEN r % 3 = 0 THEN upper(trim(anchor_text)) ELSE concat(substr('ABN', CAST(1 + r % 3 AS INT), 1), CAST(10 + r % 30 AS STRING)) END"

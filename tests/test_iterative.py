@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from plotweave.functions import geometry as G
@@ -143,7 +144,30 @@ def test_merge_clusters_equal_sequential_clustering(spark):
         else:
             groups.append([p])
     want = {frozenset(q[2] for q in g) for g in groups}
-    got = {}
-    for r in direction.signal_clusters(df, radius).collect():
-        got.setdefault((r.band_y, r.band_x, r.cluster), set()).add(r.row_id)
-    assert {frozenset(v) for v in got.values()} == want
+    # the smaller ranges hand open centres from round to round
+    for most in (direction.SPOTS, 7):
+        got = {}
+        for r in direction.signal_clusters(df, radius, most).collect():
+            got.setdefault((r.stretch, r.cluster), set()).add(r.row_id)
+        assert {frozenset(v) for v in got.values()} == want
+
+
+def test_clusters_of_far_stretches_and_missing_positions(spark):
+    rows = [(1, 1, 1, "signal", "A1", 5.0, 5.0), (1, 1, 2, "signal", " A1", 5.0, 150.0), (1, 1, 3, "signal", "A1", 5.0, 900.0), (1, 1, 4, "signal", "A1", None, 900.0),
+            (1, None, 5, "signal", "A1", 5.0, 900.0), (1, 2, 6, "signal", "A1", 5.0, 5.0), (1, 2, 7, "signal", "A1", 5.0, 5.0), (1, 1, 8, "signal", "B2", 5.0, 5.0), (2, 1, 9, "signal", "A1", 5.0, 5.0)]
+    df = spark.createDataFrame(rows, "layout_id LONG, page INT, row_id LONG, cls STRING, anchor_text STRING, cx DOUBLE, cy DOUBLE")
+    radius = spark.createDataFrame([(1, 200), (2, 200)], "layout_id LONG, radius INT")
+    got = {r.row_id: (r.page, r.stretch, r.cluster) for r in direction.signal_clusters(df, radius, 1).collect()}
+    assert got == {1: (1, 0, 0), 2: (1, 0, 0), 3: (1, 1, 0), 6: (2, 0, 0), 7: (2, 0, 0)}
+    assert direction.signal_clusters(df.limit(0), radius).count() == 0
+
+
+def test_scan_holds_open_centres_only():
+    n = 50_000
+    y = np.repeat(np.arange(n // 5) * 10.0, 5)
+    pdf = pd.DataFrame({"layout_id": 1, "page": 1, "name": "A1", "stretch": 0, "x": np.tile(np.arange(5) * 300.0, n // 5), "y": y, "n": 1, "radius": 100.0,
+                        "more": True, "state": False, "cluster": None, "made": 0})
+    out = pd.concat(direction._scan(iter([pdf[:n // 2], pdf[n // 2:]])))
+    assert (~out["state"]).sum() == n
+    assert out["state"].sum() <= 10
+    assert out["cluster"].max() > 1000

@@ -11,7 +11,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 CHECKED = [
     "flagship_risk_by_class", "f1_parse_coordinate", "f8_join_tokens", "f19_detection_id", "g6_direction_test", "p5_stitch_tiles", "p22_delete_add_rows",
     "u1_issue_union", "a11_pattern_outliers", "a13_link_distance_outliers", "j20_overlap_pairs", "j32_relation_issues", "w1_coordinate_gaps",
-    "j2_best_link", "j6_link_triples", "j11_direction_track", "j35_recompute_direction", "c3_classify_by_id", "a8_change_summary", "a2_quality_metrics",
+    "j2_best_link", "j6_link_triples", "j11_direction_track", "j35_recompute_direction", "a21_merge_signals", "c3_classify_by_id", "a8_change_summary", "a2_quality_metrics",
     "j29_apply_corrections", "s2_upsert_elements", "s3_delete_layout", "s10_write_json", "st1_ingest_pages", "st2_correction_counts", "st3_suggestions",
 ]
 
