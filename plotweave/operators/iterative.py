@@ -15,6 +15,8 @@ from plotweave.operators.spatial import prefixed, span_cells
 from plotweave.session import cut
 
 HEADS = 64
+#: Refused anchors of one target that take turns in one pass, and targets they look through.
+TURNS = 64
 
 
 def greedy_keep(df: DataFrame, group: list[str], reach: G.Box, conflict: Callable[[], Column],
@@ -65,30 +67,52 @@ def greedy_keep(df: DataFrame, group: list[str], reach: G.Box, conflict: Callabl
     return df.join(kept, [*group, "row_id"], "left_semi")
 
 
-def claims(candidates: DataFrame, target: list[str], anchor: list[str], rank: list[str], order: list[str]) -> DataFrame:
+def claims(candidates: DataFrame, target: list[str], anchor: list[str], rank: list[str], order: list[str], batch: int = TURNS) -> DataFrame:
     """One-to-one picks as if anchors chose their best free target one after the other.
 
     ``order`` columns give the anchors' turn, ``rank`` columns an anchor's liking (smaller first).
-    Every round each anchor proposes to its best target; a target holds the earliest proposer and
-    crosses itself off the lists of all later anchors. The lists only shrink, so this ends.
+    Every anchor asks for the best target it was not refused; a target asked by several is held by the earliest.
+    The refused ones of a target take turns among themselves in one pass, about ``batch`` of them together, through
+    their next ``batch`` targets. Whoever is passed over there is passed over for an earlier anchor that really
+    asked, so a refusal never has to be taken back, whatever anchors outside ask for later, and any split of the
+    refused ones gives the same picks. Lists are ranked and written once; a round writes who asks for what.
     """
     own = [t for t in target if t not in anchor]
-    extra = [o for o in order if o not in anchor]
-    who = [*anchor, *extra]
-    liking = F.struct(*rank, *own)
+    shared = [t for t in target if t in anchor]
+    who = [*anchor, *[o for o in order if o not in anchor]]
     turn = F.struct(*order, *[a for a in anchor if a not in order])
-    c = cut(candidates.select(*dict.fromkeys([*who, *own, *rank])))
+    place = F.row_number().over(Window.partitionBy(*who).orderBy(*rank, *own))
+    lists = cut(candidates.select(*dict.fromkeys([*who, *own, *rank])).withColumn("_r", place).select(*who, *own, "_r"))
+    asked = lists.filter(F.col("_r") == 1)
     while True:
-        top = c.groupBy(*who).agg(F.min(liking).alias("_m"))
-        asked = top.select(*who, *[F.col(f"_m.{t}").alias(t) for t in own])
-        held = asked.groupBy(*target).agg(F.min(turn).alias("_held"), F.count(F.lit(1)).alias("_n"))
-        if held.filter(F.col("_n") > 1).isEmpty():
-            return asked
-        c = cut(
-            c.join(held.select(*target, "_held"), target, "left")
-            .filter(F.col("_held").isNull() | (turn <= F.col("_held")))
-            .drop("_held")
-        )
+        asked = cut(asked)
+        held = asked.groupBy(*target).agg(F.min(turn).alias("_held"), F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
+        met = asked.join(held, target, "left").withColumn("_out", F.col("_held").isNotNull() & (turn != F.col("_held")))
+        part = F.pmod(F.xxhash64(*who), F.ceil(F.col("_n") / batch))
+        out = met.filter("_out").select(*who, F.struct(*own).alias("_g"), F.col("_r").alias("_at"), part.alias("_part"))
+        if out.isEmpty():
+            return asked.select(*who, *own)
+        later = lists.join(out, who).filter((F.col("_r") > F.col("_at")) & (F.col("_r") <= F.col("_at") + batch))
+        wish = F.struct("_r", F.struct(*own).alias("_t"))
+        each = later.groupBy(*who, "_g", "_part", "_at").agg(F.sort_array(F.collect_list(wish)).alias("_list"))
+        group = F.sort_array(F.collect_list(F.struct(turn.alias("_turn"), F.struct(*who).alias("_who"), "_at", "_list")))
+        turns = each.groupBy(*shared, "_g", "_part").agg(group.alias("_all"))
+        # an anchor that finds all it looked at taken goes on behind them in the next round
+        got = turns.select(F.explode(F.arrays_zip("_all", _take_turns("_all", "_g").alias("_to"))).alias("_x"))
+        moved = got.select("_x._all._who.*", F.coalesce(F.col("_x._to"), F.col("_x._all._at") + F.size("_x._all._list") + 1).alias("_r"))
+        asked = met.filter(~F.col("_out")).select(*who, *own, "_r").unionByName(lists.join(moved, [*who, "_r"]).select(*who, *own, "_r"))
+
+
+def _take_turns(anchors: str, gone: str) -> Column:
+    """Places in their own lists that the sorted ``anchors`` get one after the other, NULL for none; ``gone`` is taken."""
+    def turn(acc: Column, x: Column) -> Column:
+        free = F.filter(x["_list"], lambda w: ~F.array_contains(acc["taken"], w["_t"]))
+        first = F.slice(free, 1, 1)
+        return F.struct(F.concat(acc["taken"], F.transform(first, lambda w: w["_t"])).alias("taken"),
+                        F.concat(acc["to"], F.array(F.get(first, F.lit(0))["_r"])).alias("to"))
+
+    start = F.struct(F.array(gone).alias("taken"), F.array().cast("array<int>").alias("to"))
+    return F.aggregate(anchors, start, turn, lambda acc: acc["to"])
 
 
 def components(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFrame:

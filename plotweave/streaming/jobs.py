@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from plotweave.sources import store
 
@@ -68,33 +67,38 @@ def read_counts(spark: SparkSession, path: str) -> DataFrame:
 SUMS = ["offset_x", "offset_y", "width_delta", "height_delta"]
 
 
+#: Suggestions whose counts one row of a batch is spread to before they are listed.
+SPAN = 10_000
+
+
+def passed_counts(both: DataFrame) -> DataFrame:
+    """``cls, at_count``: the third and every fifth count in ``(was, n]``, as stretches that tasks list apart."""
+    first, last = F.floor(C("was") / 5), F.floor(C("n") / 5)
+    fifths = both.filter(last > first).select("cls", (first + 1).alias("a"), last.alias("b"))
+    starts = fifths.select("cls", "b", F.explode(F.sequence("a", "b", F.lit(SPAN).cast("long"))).alias("a"))
+    spread = starts.repartition("cls", "a")
+    listed = spread.select("cls", F.explode(F.sequence("a", F.least(C("a") + SPAN - 1, "b"))).alias("k"))
+    fives = listed.select("cls", (C("k") * 5).alias("at_count"))
+    return fives.unionByName(both.filter((C("was") < 3) & (C("n") >= 3)).select("cls", F.lit(3).cast("long").alias("at_count")))
+
+
 def learn_adjustments(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Running sums per class, and a suggestion at the third and at every fifth adjustment.
 
     A batch is summed before it meets the stored state, and the counts it passes are derived from the
-    count before and after, so no class is handled row by row.
+    count before and after, so no class is handled row by row. Every batch stores the state of all classes, and
+    the next one reads that folder alone.
     """
     def put(batch: DataFrame, no: int) -> None:
         spark = batch.sparkSession
         new = batch.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).cast("long").alias(c) for c in SUMS])
-        before = None
-        try:
-            before = spark.read.parquet(f"{path}/state").filter(C("batch") < no)
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        if before is None:
-            both = new.withColumn("was", F.lit(0).cast("long"))
-        else:
-            old = before.groupBy("cls").agg(F.max_by(F.struct("n", *SUMS), "batch").alias("o"))
-            both = new.join(old, "cls", "left").select(
-                "cls", (C("n") + F.coalesce("o.n", F.lit(0))).alias("n"), F.coalesce("o.n", F.lit(0)).alias("was"),
-                *[(C(c) + F.coalesce(f"o.{c}", F.lit(0))).alias(c) for c in SUMS])
+        both = new.withColumn("was", F.lit(0).cast("long"))
+        if no > 0:
+            old = spark.read.schema("cls string, n long, " + ", ".join(f"{c} long" for c in SUMS)).parquet(f"{path}/state/batch={no - 1}")
+            both = both.unionByName(old.withColumn("was", C("n"))).groupBy("cls").agg(*[F.sum(c).alias(c) for c in ("n", *SUMS, "was")])
         both = both.select("cls", "n", *SUMS, "was")
         both.drop("was").write.mode("overwrite").parquet(f"{path}/state/batch={no}")
-        passed = F.when(C("n") > C("was"), F.sequence(C("was") + 1, C("n"))).otherwise(F.array().cast("array<bigint>"))
-        hits = both.select("cls", F.explode(F.filter(passed, lambda k: (k == 3) | ((k > 3) & (k % 5 == 0)))).alias("at_count"))
-        hits.write.mode("overwrite").parquet(f"{path}/suggestions/batch={no}")
+        passed_counts(both).write.mode("overwrite").parquet(f"{path}/suggestions/batch={no}")
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -59,19 +59,51 @@ def test_center_suppression_equals_sequential_pass(spark):
     assert got == _greedy(rows, conflict)
 
 
-def test_claims_equal_taking_turns(spark):
-    rnd = random.Random(3)
-    cand = [(1, a, c, rnd.randint(0, 20)) for a in range(40) for c in rnd.sample(range(30), 6)]
+def _taking_turns(cand):
     taken, want = set(), {}
-    for a in range(40):
+    for a in sorted({x[1] for x in cand}):
         for _, _, c, _ in sorted((x for x in cand if x[1] == a), key=lambda x: (x[3], x[2])):
             if c not in taken:
                 taken.add(c)
                 want[a] = c
                 break
-    df = spark.createDataFrame(cand, "layout_id LONG, row_id LONG, coord_id LONG, s LONG")
-    got = iterative.claims(df, ["layout_id", "coord_id"], ["layout_id", "row_id"], ["s"], ["row_id"])
-    assert {r.row_id: r.coord_id for r in got.collect()} == want
+    return want
+
+
+CANDIDATES = "layout_id LONG, row_id LONG, coord_id LONG, s LONG"
+
+
+def _claims(spark, cand, **more):
+    df = spark.createDataFrame(cand, CANDIDATES)
+    got = iterative.claims(df, ["layout_id", "coord_id"], ["layout_id", "row_id"], ["s"], ["row_id"], **more).collect()
+    assert len(got) == len({r.row_id for r in got}) == len({r.coord_id for r in got})
+    return {r.row_id: r.coord_id for r in got}
+
+
+def test_claims_equal_taking_turns(spark):
+    rnd = random.Random(3)
+    cand = [(1, a, c, rnd.randint(0, 20)) for a in range(40) for c in rnd.sample(range(30), 6)]
+    cand += rnd.sample(cand, 20)  # repeated rows
+    for batch in (iterative.TURNS, 2):
+        assert _claims(spark, cand, batch=batch) == _taking_turns(cand)
+    assert _claims(spark, cand[:0]) == {}
+
+
+def test_anchors_of_one_liking_need_two_rounds(spark, monkeypatch):
+    written = []
+
+    def counted(df):
+        written.append(1)
+        return cut(df)
+
+    cut = iterative.cut
+    monkeypatch.setattr(iterative, "cut", counted)
+    cand = [(1, a, c, c) for a in range(12) for c in range(20)]
+    assert _claims(spark, cand) == {a: a for a in range(12)}
+    assert len(written) == 1 + 2  # the lists, then two rounds
+    # more anchors than targets, and more than take turns together
+    cand = [(1, a, c, c) for a in range(30) for c in range(25)]
+    assert _claims(spark, cand, batch=8) == {a: a for a in range(25)}
 
 
 def test_components_of_a_path(spark):

@@ -95,3 +95,12 @@ def test_learned_state_over_several_batches(spark, tmp_path):
     r = jobs.read_adjustments(spark, out).first()
     assert (r.n, r.offset_x, r.height_delta, r.usable) == (12, 5, -3, True)
     assert sorted(x.at_count for x in spark.read.parquet(out + "/suggestions").collect()) == [3, 5, 10]
+
+
+def test_counts_passed_by_a_large_batch(spark):
+    both = spark.createDataFrame([("signal", 1, 5_000_002), ("board", 7, 9), ("stop", 4, 15), ("sign", 0, 3), (None, 0, 5)], "cls STRING, was LONG, n LONG")
+    got = jobs.passed_counts(both)
+    small = [tuple(r) for r in got.filter("cls <> 'signal' OR cls IS NULL").collect()]
+    assert len(small) == 6 and set(small) == {("stop", 5), ("stop", 10), ("stop", 15), ("sign", 3), (None, 3), (None, 5)}
+    s = got.filter("cls = 'signal'").agg(F.count("*").alias("n"), F.countDistinct("at_count").alias("d"), F.min("at_count").alias("a"), F.max("at_count").alias("b")).first()
+    assert tuple(s) == (1_000_001, 1_000_001, 3, 5_000_000)
