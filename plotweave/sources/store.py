@@ -2,8 +2,9 @@
 
 Rows of a table are only ever added, with the time of their write. A replaced plan gets its new rows
 first and then a marker with the same time: readers show exactly the rows of the plan's last marker,
-so the marker is the commit, and rows of a failed write are never seen. Deleting adds a marker without
-rows. ``compact`` writes the live rows to a fresh folder.
+so the marker is the commit, and rows of a failed write are never seen. A single page has a marker of its
+own, so a page that arrives writes its rows and nothing else. Deleting adds a marker without rows.
+``compact`` writes the live rows to a fresh folder.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from plotweave.session import cut
+
 C = F.col
 ROWS_PER_FILE = 1_000_000
 REPLACED = ["elements", "validation_log", "track_pixels"]
@@ -53,18 +56,25 @@ def _append(df: DataFrame, path: str, table: str, stamp: Column | None = None, p
     (w.partitionBy("layout_id") if parts else w).parquet(_at(path, table))
 
 
-def _mark(spark: SparkSession, layouts: DataFrame | None, path: str, tables: list[str], stamp: Column) -> None:
+def _mark(spark: SparkSession, touched: DataFrame | None, path: str, tables: list[str], stamp: Column, pages: bool = False) -> None:
+    """Markers of the plans, or with ``pages`` of the single pages, in ``touched``; ``None`` stands for all plans."""
     names = F.explode(F.array(*[F.lit(t) for t in tables]))
-    ids = spark.range(1).select(F.lit(None).cast("long").alias("layout_id")) if layouts is None else layouts.select(C("layout_id").cast("long")).distinct()
-    ids.select("layout_id", names.alias("tbl"), stamp.alias("stored_at")).write.mode("append").parquet(_at(path, "markers"))
+    ids = spark.range(1).select(F.lit(None).cast("long").alias("layout_id")) if touched is None else touched
+    page = C("page").cast("int") if pages else F.lit(None).cast("int")
+    ids = ids.select(C("layout_id").cast("long").alias("layout_id"), page.alias("page"), F.lit(not pages).alias("whole")).distinct()
+    ids.select("layout_id", "page", "whole", names.alias("tbl"), stamp.alias("stored_at")).write.mode("append").parquet(_at(path, "markers"))
+
 
+def _replace(df: DataFrame, path: str, table: str, pages: bool = False) -> DataFrame:
+    """New rows for every plan (or page) in ``df``; visible once their marker is written.
 
-def _replace(df: DataFrame, path: str, table: str) -> None:
-    """New rows for every plan in ``df``; visible once their marker is written."""
+    Gives what was touched. Its ids are taken from ``df`` before the write, so no stored file is read again.
+    """
     stamp = _now()
+    touched = cut(df.select("layout_id", *["page"] * pages).distinct())
     _append(df, path, table, stamp)
-    written = _read(df.sparkSession, path, table).filter(C("stored_at") == stamp)
-    _mark(df.sparkSession, written, path, [table], stamp)
+    _mark(df.sparkSession, touched, path, [table], stamp, pages)
+    return touched
 
 
 def read_table(spark: SparkSession, path: str, table: str, layout: int | None = None) -> DataFrame | None:
@@ -79,12 +89,21 @@ def read_table(spark: SparkSession, path: str, table: str, layout: int | None =
     if m is None:
         return d.limit(0) if table in REPLACED else d
     m = m.filter(C("tbl") == table)
-    own = m.filter(C("layout_id").isNotNull()).groupBy("layout_id").agg(F.max("stored_at").alias("_own"))
-    every = m.filter(C("layout_id").isNull()).agg(F.max(F.unix_micros("stored_at")).alias("t")).first()["t"]
-    if table in REPLACED:
+    for c, t in (("page", "int"), ("whole", "boolean")):  # stores from before there were pages
+        m = m if c in m.columns else m.withColumn(c, F.lit(None).cast(t))
+    whole = F.coalesce("whole", F.lit(True))
+    own = m.filter(whole & C("layout_id").isNotNull()).groupBy("layout_id").agg(F.max("stored_at").alias("_own"))
+    every = m.filter(C("layout_id").isNull() & whole).agg(F.max(F.unix_micros("stored_at")).alias("t")).first()["t"]
+    if table not in REPLACED:
+        d = d.join(own, "layout_id", "left").filter(C("_own").isNull() | (C("stored_at") > C("_own"))).drop("_own")
+    elif "page" not in d.columns:
         d = d.join(own, "layout_id").filter(C("stored_at") == C("_own")).drop("_own")
     else:
-        d = d.join(own, "layout_id", "left").filter(C("_own").isNull() | (C("stored_at") > C("_own"))).drop("_own")
+        # the later of the plan's and the page's marker decides; -1 stands for a missing page
+        of_page = F.coalesce(C("page").cast("int"), F.lit(-1)).alias("_page")
+        paged = m.filter(~whole).groupBy("layout_id", of_page).agg(F.max("stored_at").alias("_mine"))
+        d = d.withColumn("_page", of_page).join(own, "layout_id", "left").join(paged, ["layout_id", "_page"], "left")
+        d = d.filter(C("stored_at") == F.greatest("_own", "_mine")).drop("_own", "_mine", "_page")
     return d if every is None else d.filter(F.unix_micros("stored_at") > every)
 
 
@@ -101,17 +120,9 @@ def elements_from_json(df: DataFrame, column: str, schema: T.StructType | str) -
 
 
 def upsert_elements(df: DataFrame, path: str, by: list[str] = ("layout_id",)) -> None:
-    """Replace the rows of every plan in ``df``. With ``by=[layout_id, page]`` other pages stay."""
-    spark = df.sparkSession
-    if "page" in by:
-        # the other pages of the plan are stored again with the new ones
-        old = read_table(spark, path, "elements")
-        if old is not None:
-            touched = df.select("layout_id").distinct()
-            keep = old.drop("stored_at").join(touched, "layout_id", "left_semi").join(df.select("layout_id", "page").distinct(), ["layout_id", "page"], "left_anti")
-            df = df.unionByName(keep, allowMissingColumns=True)
-    _replace(df, path, "elements")
-    layouts = df.select("layout_id").distinct().withColumn("last_modified", F.current_timestamp())
+    """Replace the rows of every plan in ``df``. With ``by=[layout_id, page]`` other pages stay, and are not written again."""
+    touched = _replace(df, path, "elements", "page" in by)
+    layouts = touched.select("layout_id").distinct().withColumn("last_modified", F.current_timestamp())
     layouts.write.mode("append").parquet(_at(path, "layouts"))
 
 

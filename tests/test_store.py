@@ -36,6 +36,31 @@ def test_page_upsert_keeps_other_pages(spark, tmp_path):
     assert got.count() == 20 and got.filter("conf = 9.0").count() == rows(spark).filter("layout_id = 0 and page = 1").count()
 
 
+def test_a_page_writes_its_own_rows_only(spark, tmp_path):
+    p = str(tmp_path / "s")
+    page = spark.range(50).select(F.lit(7).cast("long").alias("layout_id"), C("id").alias("row_id"), F.lit("signal").alias("cls"))
+    grown = []
+    for k in range(8):
+        before = set(glob.glob(p + "/elements/**/*.parquet", recursive=True))
+        store.upsert_elements(page.withColumn("page", F.lit(k)), p, by=["layout_id", "page"])
+        new = set(glob.glob(p + "/elements/**/*.parquet", recursive=True)) - before
+        grown.append(spark.read.parquet(*new).count())
+    assert grown == [50] * 8
+    assert store.read_elements(spark, p).groupBy("page").count().filter("count = 50").count() == 8
+    # a page again, a missing page, then the whole plan, a page after it, and deletion
+    store.upsert_elements(page.limit(3).withColumn("page", F.lit(2)), p, by=["layout_id", "page"])
+    store.upsert_elements(page.limit(2).withColumn("page", F.lit(None).cast("int")), p, by=["layout_id", "page"])
+    assert store.read_elements(spark, p).count() == 7 * 50 + 3 + 2
+    store._append(page.withColumn("page", F.lit(3)), p, "elements")  # a page that failed before its marker
+    assert store.read_elements(spark, p).count() == 7 * 50 + 3 + 2
+    store.upsert_elements(page.limit(4).withColumn("page", F.lit(1)), p)
+    assert store.read_elements(spark, p).count() == 4
+    store.upsert_elements(page.limit(5).withColumn("page", F.lit(9)), p, by=["layout_id", "page"])
+    assert {(r.page, r["count"]) for r in store.read_elements(spark, p).groupBy("page").count().collect()} == {(1, 4), (9, 5)}
+    store.delete_layout(spark, p, page.select("layout_id").distinct())
+    assert store.read_elements(spark, p).count() == 0
+
+
 def _document(path):
     return json.loads("".join(open(f, encoding="utf-8").read() for f in sorted(glob.glob(path + "/part-*"))))
 
