@@ -53,17 +53,25 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     return same.unionByName(apart)
 
 
-def has_neighbour(df: DataFrame, radii: list[float], on: list[str], strict: bool) -> DataFrame:
-    """Keys of rows with another row of the same ``on`` group within the last radius."""
-    p = places(df, ["x", "y"], on)
+def has_neighbour(df: DataFrame, radius: float, on: list[str], strict: bool) -> DataFrame:
+    """Keys of rows with another row of the same ``on`` group within the radius.
+
+    Places of one small cell are neighbours of each other. Only what is alone in its cell, at most one
+    place a cell, is searched for on the wider grid.
+    """
+    cell = [*on, "_sx", "_sy"]
+    small = {"_sx": F.floor(C("x") / (0.7 * radius)), "_sy": F.floor(C("y") / (0.7 * radius))}
+    p = places(df, ["x", "y"], on).withColumns(small)
+    wide, high = F.max("x") - F.min("x"), F.max("y") - F.min("y")
+    ids = F.min("row_id") < F.max("row_id")
+    full = p.groupBy(*cell).agg((ids & (F.sqrt(wide * wide + high * high) < radius)).alias("_full")).filter("_full").select(*cell)
     crowded = p.filter(C("n") > 1).select(*on, "x", "y")
-    rest, found = p.filter(C("n") == 1), crowded
-    for r in radii:
-        last = strict and r == radii[-1]
-        hit = near_pairs(rest, p, r, on, (C("a_row_id") != C("b_row_id")) & (C("dist") < r if last else C("dist") <= r))
-        hit = hit.select(*on, C("a_x").alias("x"), C("a_y").alias("y")).distinct()
-        found = found.unionByName(hit)
-        rest = rest.join(hit, [*on, "x", "y"], "left_anti")
+    single = p.filter(C("n") == 1)
+    close = single.filter(C("row_id").isNotNull()).join(full, cell, "left_semi").select(*on, "x", "y")
+    rest = single.join(full, cell, "left_anti").drop("_sx", "_sy", "n")
+    limit = C("dist") < radius if strict else C("dist") <= radius
+    hit = near_pairs(rest, p.drop("_sx", "_sy", "n"), radius, on, (C("a_row_id") != C("b_row_id")) & limit)
+    found = crowded.unionByName(close).unionByName(hit.select(*on, C("a_x").alias("x"), C("a_y").alias("y")).distinct())
     return df.join(found, [*on, "x", "y"], "left_semi")
 
 
@@ -72,7 +80,7 @@ def isolated(df: DataFrame, radius: float = 1000.0) -> DataFrame:
     on = [*KEYS, "cls"]
     d = points(df, "cls")
     many = d.groupBy(*on).agg(F.count(F.lit(1)).alias("k")).filter(C("k") >= 3).select(*on)
-    near = has_neighbour(d, [radius / 8, radius], on, strict=False)
+    near = has_neighbour(d, radius, on, strict=False)
     return d.join(many, on, "left_semi").join(near.select("layout_id", "row_id"), ["layout_id", "row_id"], "left_anti")
 
 
@@ -204,7 +212,7 @@ def false_positives(df: DataFrame, coords: DataFrame) -> DataFrame:
 
 def inspector_risk(df: DataFrame, name: str = "anchor_text") -> DataFrame:
     """Row risk with neighbours and stop-point references taken into account."""
-    near = has_neighbour(points(df, "cls"), [50.0], [*KEYS, "cls"], strict=True).select("layout_id", "row_id", F.lit(True).alias("_dup"))
+    near = has_neighbour(points(df, "cls"), 50.0, [*KEYS, "cls"], strict=True).select("layout_id", "row_id", F.lit(True).alias("_dup"))
     bad = dangling_refs(df, name).select("layout_id", "row_id", F.lit(True).alias("_ref"))
     d = df.join(near, ["layout_id", "row_id"], "left").join(bad, ["layout_id", "row_id"], "left")
     score, factors = S.inspector_risk(F.coalesce("_dup", F.lit(False)), F.coalesce("_ref", F.lit(False)))
