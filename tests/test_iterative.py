@@ -113,6 +113,26 @@ def test_components_of_a_path(spark):
     assert set(got[i] for i in range(41)) == {0} and got[101] == 100
 
 
+def test_component_rounds_shrink(spark, monkeypatch):
+    """A long path in mixed order: all rounds together write a few times the graph, not the graph each round."""
+    rnd, rows = random.Random(5), []
+
+    def counted(df):
+        out = cut(df)
+        rows.append(out.count())
+        return out
+
+    cut = iterative.cut
+    monkeypatch.setattr(iterative, "cut", counted)
+    n = 300
+    names = rnd.sample(range(10 * n), n)
+    edges = spark.createDataFrame(list(zip(names, names[1:])) + [(names[7], names[7])], "src LONG, dst LONG")
+    nodes = spark.createDataFrame([(x,) for x in [*names, -5, -5]], "node LONG")
+    got = {r.node: r.component for r in iterative.components(nodes, edges).collect()}
+    assert got == {**dict.fromkeys(names, min(names)), -5: -5}
+    assert sum(rows) < 10 * n
+
+
 def _brute(gain):
     best = 0.0
     n, m = gain.shape
