@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -22,6 +23,8 @@ from plotweave.session import cut
 
 C = F.col
 NEED = ["layout_id", "page", "row_id"]
+#: Rays whose cells go to one task.
+RAYS = 10_000
 
 
 def corrected_angle(raw: Column, w: Column, h: Column) -> Column:
@@ -85,7 +88,8 @@ def direction_track(signals: DataFrame, pixels: DataFrame, bounds: DataFrame, sh
     """Second tier: rays to both sides, square to the signal, until a track pixel lies in the window.
 
     The ray is not stepped: for one pixel the steps that see it form an interval in closed form.
-    Only pixels of the grid cells along the ray are looked at.
+    Only pixels of the grid cells along the ray are looked at. A ray becomes a row for each of its cells, which sizes
+    of files do not tell, so rays are counted first and a task gets the cells of some ``RAYS`` of them.
     """
     d = raw_angle(signals).filter(~T.is_exempt(C("anchor_text"))).withColumn("turn", corrected_angle(C("angle_raw"), C("w"), C("h")))
     d = d.join(sheets, KEYS).join(bounds.select(*KEYS, "y_min", "y_max"), KEYS, "left")
@@ -103,6 +107,8 @@ def direction_track(signals: DataFrame, pixels: DataFrame, bounds: DataFrame, sh
         )
 
     d = d.select(*key, "sx", "sy", "angular", "width", "height", F.explode(F.array(ray("above", 1.0, up), ray("below", -1.0, down))).alias("r")).filter(C("r.len") >= 1)
+    d = cut(d)
+    tasks = max(d.sparkSession.sparkContext.defaultParallelism, math.ceil(d.count() / RAYS))
     # upright rays run inside one or two columns of cells; tilted ones are followed cell by cell
     upright = d.filter(~C("angular"))
     end = C("sy") + C("r.uy") * C("r.len")
@@ -115,7 +121,8 @@ def direction_track(signals: DataFrame, pixels: DataFrame, bounds: DataFrame, sh
     tilted = tilted.withColumn("_gx", F.explode(F.sequence(at_x - 1, at_x + 1))).withColumn("_gy", F.explode(F.sequence(at_y - 1, at_y + 1)))
     d = upright.unionByName(tilted.drop("_s").distinct())
     p = pixels.select(*KEYS, C("x").alias("px"), C("y").alias("py"), F.floor(C("x") / cell).alias("_gx"), F.floor(C("y") / cell).alias("_gy"))
-    j = d.join(p, [*KEYS, "_gx", "_gy"])
+    at = [*KEYS, "_gx", "_gy"]
+    j = d.repartition(tasks, *at).hint("merge").join(p.repartition(tasks, *at), at)
 
     def steps(origin: Column, unit: Column, pixel: Column) -> tuple[Column, Column]:
         """First and last step whose window holds the pixel along one axis."""
