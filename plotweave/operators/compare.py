@@ -6,6 +6,8 @@ fahrtrichtung, cx, cy``; ``layout_id`` is the same for both versions.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,6 +27,8 @@ ID = ["layout_id", "detection_id"]
 FIELDS = ["row_id", "page", "cls", "anchor_text", "coord_text", "coord_value", "fahrtrichtung", "cx", "cy"]
 #: Possible pairs of a connected group that one task assigns; larger groups are assigned by rounds over all tasks.
 TASK_EDGES = 200_000
+#: Cells of the score tables of connected groups that one task gets, besides the rest of a last group.
+TASK_CELLS = 100_000
 #: Scores count in steps of one part of this.
 GRID = 1_000_000
 
@@ -245,6 +249,11 @@ def auction(edges: DataFrame, steps_per_unit: int = GRID) -> DataFrame:
     return edges.join(pairs, ["layout_id", "old_id", "new_id"]).select("layout_id", "old_id", "new_id", "score")
 
 
+def _tasks(df: DataFrame, cells: int) -> int:
+    """Tasks for so many cells: at least one for every core."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(cells / TASK_CELLS))
+
+
 def assign(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     """One-to-one pairs with the largest total score.
 
@@ -262,8 +271,10 @@ def assign(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     e = cut(e.join(size, "component"))
     single = e.filter(C("k") == 1).select("layout_id", "old_id", "new_id", "score")
     small = (C("k") > 1) & (C("o") * C("w") <= task_edges)
-    solved = e.filter(small).select("component", "layout_id", "old_id", "new_id", "score").groupBy("component").applyInPandas(
-        lambda pdf: _solve(pdf.drop(columns="component")), PAIR_SCHEMA)
+    # few bytes are much work here, so the number of tasks follows the work; an explicit one is not coalesced
+    work = e.filter(small).groupBy("component").agg((F.first("o") * F.first("w")).alias("cells")).agg(F.sum("cells")).first()[0] or 0
+    parted = e.filter(small).select("component", "layout_id", "old_id", "new_id", "score").repartition(_tasks(edges, work), "component")
+    solved = parted.groupBy("component").applyInPandas(lambda pdf: _solve(pdf.drop(columns="component")), PAIR_SCHEMA)
     out = single.unionByName(solved)
     big = e.filter((C("k") > 1) & ~small).select("layout_id", "old_id", "new_id", "score")
     return out if big.isEmpty() else out.unionByName(auction(big))

@@ -80,3 +80,19 @@ def test_auction_finds_the_best_total(spark):
         assert sum(value[r.old_id, r.new_id] for r in own) == best()
     by_task = compare.assign(edges).collect()
     assert round(sum(r.score for r in by_task), 6) == round(sum(r.score for r in found), 6)
+
+
+def test_assignment_tasks_follow_the_work(spark):
+    """Few bytes are much work: more groups make more tasks, whatever the size of their rows."""
+    some = spark.sparkContext.defaultParallelism
+    assert compare._tasks(spark.range(1), 0) == some
+    assert compare._tasks(spark.range(1), 100 * some * compare.TASK_CELLS) == 100 * some
+
+
+def test_small_groups_are_spread_by_their_cells(spark, monkeypatch):
+    monkeypatch.setattr(compare, "TASK_CELLS", 4)
+    rows = [(1, f"o{g}{i}", f"n{g}{j}", 0.9 if i == j else 0.5) for g in range(40) for i in range(2) for j in range(2)]
+    out = compare.assign(spark.createDataFrame(rows, compare.PAIR_SCHEMA))
+    assert {(r.old_id, r.new_id) for r in out.collect()} == {(f"o{g}{i}", f"n{g}{i}") for g in range(40) for i in range(2)}
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+    assert out.rdd.getNumPartitions() >= 40
