@@ -172,8 +172,9 @@ def inherit_from_nearest(boards: DataFrame, gks: DataFrame, gks_links: DataFrame
     return n.join(g, [*KEYS, "b_row_id"]).select(*KEYS, "row_id", C("b_row_id").alias("gks_id"), "coord_id")
 
 
-def _claim(candidates: DataFrame) -> DataFrame:
-    return iterative.claims(candidates, [*KEYS, "coord_id"], [*KEYS, "row_id"], ["tier", "s1", "s2", "s3"], ["row_id"])
+def _claim(candidates: DataFrame, coords: DataFrame, size: float = 256.0) -> DataFrame:
+    cells = coords.select(*KEYS, C("row_id").alias("coord_id"), F.floor(C("cx") / size).alias("_gx"), F.floor(C("cy") / size).alias("_gy"))
+    return iterative.claims(candidates, [*KEYS, "coord_id"], [*KEYS, "row_id"], ["tier", "s1", "s2", "s3"], ["row_id"], cells=cells)
 
 
 def assign_coordinates(anchors: DataFrame, coords: DataFrame) -> DataFrame:
@@ -194,8 +195,8 @@ def assign_coordinates(anchors: DataFrame, coords: DataFrame) -> DataFrame:
     def tagged(d: DataFrame, how: str) -> DataFrame:
         return d.select(*KEYS, "row_id", "coord_id", F.lit(how).alias("how"))
 
-    gks = tagged(_claim(cands.filter(cls.isin(R.GKS))), "claim")
-    conn = tagged(_claim(without(cands.filter(cls == "sverbinder"), gks)), "claim")
+    gks = tagged(_claim(cands.filter(cls.isin(R.GKS)), coords), "claim")
+    conn = tagged(_claim(without(cands.filter(cls == "sverbinder"), gks), coords), "claim")
     owned = gks.unionByName(conn)
     texts = {"signal": "anchor_text", "coordinate": "coord_text"}
     stops = anchors.filter(cls == "haltepunkt")
@@ -210,7 +211,7 @@ def assign_coordinates(anchors: DataFrame, coords: DataFrame) -> DataFrame:
         C("_gone").isNull()).drop("_gone")
     kept_away = cls.isin("signal", "weichenende", "weichengruppenende")
     rest = rest.filter(~kept_away).unionByName(without(rest.filter(kept_away), soft))
-    free = tagged(_claim(rest), "claim")
+    free = tagged(_claim(rest, coords), "claim")
     links = cut(owned.unionByName(soft).unionByName(free))
     links = links.unionByName(tagged(_adaptive(anchors, coords, links), "adaptive"))
     bare = anchors.filter(cls == "haltetafel").join(links.select(*KEYS, "row_id"), [*KEYS, "row_id"], "left_anti")
@@ -227,7 +228,7 @@ def _adaptive(anchors: DataFrame, coords: DataFrame, links: DataFrame) -> DataFr
     open_ = at.filter(~C("cls").isin(*R.GKS, "sverbinder", "haltepunkt", "haltetafel", "weichen_block")).join(links.select(*KEYS, "row_id"), [*KEYS, "row_id"], "left_anti")
     free = coords.join(links.select(*KEYS, C("coord_id").alias("row_id")).distinct(), [*KEYS, "row_id"], "left_anti")
     pairs = adaptive_pairs(open_, free, patterns)
-    return _claim(pairs.select(*KEYS, "row_id", "coord_id", F.lit(0).alias("tier"), C("d").alias("s1"), F.lit(0.0).alias("s2"), F.lit(0.0).alias("s3")))
+    return _claim(pairs.select(*KEYS, "row_id", "coord_id", F.lit(0).alias("tier"), C("d").alias("s1"), F.lit(0.0).alias("s2"), F.lit(0.0).alias("s3")), coords)
 
 
 # --- user symbols ------------------------------------------------------------------------------

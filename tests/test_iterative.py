@@ -106,6 +106,32 @@ def test_anchors_of_one_liking_need_two_rounds(spark, monkeypatch):
     assert _claims(spark, cand, batch=8) == {a: a for a in range(25)}
 
 
+def _counting(monkeypatch):
+    written, cut = [], iterative.cut
+    monkeypatch.setattr(iterative, "cut", lambda df: written.append(1) or cut(df))
+    return written
+
+
+def test_a_chain_of_refusals_is_one_round(spark, monkeypatch):
+    written = _counting(monkeypatch)
+    # the first anchor keeps the second from its first wish, which takes the first wish of the third, and so on
+    cand = [(1, 0, 0, 0)] + [(1, a, c, c) for a in range(1, 40) for c in (a - 1, a)]
+    assert _claims(spark, cand) == {a: a for a in range(40)}
+    assert len(written) == 3  # the rows, their lists, one round
+
+
+def test_chains_cross_tiles_and_full_tiles_are_split(spark, monkeypatch):
+    written = _counting(monkeypatch)
+    # tiles of some 32 targets: the chain crosses three borders
+    cand = [(1, 0, 0, 0)] + [(1, a, c, c) for a in range(1, 110) for c in (a - 1, a)]
+    cells = spark.createDataFrame([(1, c, c // 8, 0) for c in range(110)], "layout_id LONG, coord_id LONG, _gx LONG, _gy LONG")
+    assert _claims(spark, cand, batch=2, cells=cells) == {a: a for a in range(110)}
+    assert len(written) <= 2 + 5
+    # more anchors of one liking than take turns together, and a list that is longer than an anchor looks at once
+    cand = [(1, a, c, c) for a in range(200) for c in range(3)]
+    assert _claims(spark, cand, batch=2) == {0: 0, 1: 1, 2: 2}
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101)], "src LONG, dst LONG")
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
