@@ -35,18 +35,26 @@ def coord_shapes(coords: DataFrame) -> DataFrame:
     return places(coords, SHAPE).drop("n")
 
 
-def _steps(cls: Column, dy: Column, base: Column) -> Column:
-    """0 within the base height, k for the first later step that reaches ``dy``, NULL beyond."""
-    tier = F.when(dy <= base, 0)
+def _steps(cls: Column) -> Column:
+    """Later steps of a class as factors of its base height."""
+    out = F.array().cast("array<double>")
     for c, r in R.LINK.items():
-        for k, step in enumerate(r.get("steps", []), start=1):
-            tier = tier.when(R.is_in(cls, [c]) & (dy <= base * step), k)
-    return tier
+        if "steps" in r:
+            out = F.when(R.is_in(cls, [c]), F.array(*[F.lit(float(x)) for x in r["steps"]])).otherwise(out)
+    return out
 
 
 def link_candidates(anchors: DataFrame, coords: DataFrame) -> DataFrame:
-    """All coordinates an anchor may take, with its liking ``tier, s1, s2, s3`` (smaller is better)."""
+    """All coordinates an anchor may take, with its liking ``tier, s1, s2, s3`` (smaller is better).
+
+    What a class asks for is looked up once per anchor, so that little code is left for the pairs.
+    """
     a = raw_angle(anchors).select(*KEYS, "row_id", "cls", "angle", "angle_raw", *SHAPE).filter(C("cls") != "coordinate")
+    turned = G.tilted(C("angle"))
+    a = a.withColumns({
+        "turned": turned, "mode": rule(C("cls"), "mode", "either"), "wide": rule(C("cls"), "dx", 1.0) * 0.6,
+        "left": F.coalesce(rule(C("cls"), "left", False), F.lit(False)) & ~turned, "flat": F.coalesce(rule(C("cls"), "horizontal", False), F.lit(False)),
+        "oriented": turned & ~F.coalesce(rule(C("cls"), "axis", False), F.lit(False)), "base": 1.6 * C("h"), "steps": _steps(C("cls"))})
     # how far a class looks: a few sizes, each with its own copy of the coordinates' reach
     far = {c: 0.6 * r.get("dx", 1.0) * (1.3 if r.get("left") else 1.0) for c, r in R.LINK.items()}
     a = a.withColumn("far", R.lookup(C("cls"), far, 0.6))
@@ -54,30 +62,28 @@ def link_candidates(anchors: DataFrame, coords: DataFrame) -> DataFrame:
     up = 1.6 * C("h") * R.lookup(C("cls"), {c: max(r["steps"]) for c, r in R.LINK.items() if "steps" in r}, 1.0)
     across = F.greatest(F.lit(39.0), C("far") * C("w"))
     round_ = F.sqrt(up * up + across * across)
-    turned = G.tilted(C("angle"))
-    rx, ry = F.when(turned, round_).otherwise(across), F.when(turned, round_).otherwise(up)
+    rx, ry = F.when(C("turned"), round_).otherwise(across), F.when(C("turned"), round_).otherwise(up)
     rb = C("far") * C("w")
     p = reach_pairs(a, b, (C("cx") - rx, C("cy") - ry, C("cx") + rx, C("cy") + ry), (C("cx") - rb, C("cy") - rb, C("cx") + rb, C("cy") + rb), on=[*KEYS, "far"])
-    cls = C("a_cls")
-    turned = G.tilted(C("a_angle"))
+    turned = C("a_turned")
     gx, gy = C("b_cx") - C("a_cx"), C("b_cy") - C("a_cy")
     lx, ly = G.local_offset(gx, gy, C("a_angle_raw"))
-    p = p.withColumns({"turned": turned, "dx": F.abs(F.when(turned, lx).otherwise(gx)), "dy": F.abs(F.when(turned, ly).otherwise(gy))})
-    tier = _steps(cls, C("dy"), 1.6 * C("a_h"))
-    ok = G.in_direction(rule(cls, "mode", "either"), G.box("a_"), C("a_cx"), C("a_cy"), C("a_w"), C("a_h"), C("a_angle_raw"), G.box("b_"),
-                        C("b_cx"), C("b_cy"), C("turned") & ~F.coalesce(rule(cls, "axis", False), F.lit(False)))
-    dx_max = F.greatest(rule(cls, "dx", 1.0) * 0.6 * F.greatest("a_w", "b_w"), F.lit(30.0))
-    left = F.coalesce(rule(cls, "left", False), F.lit(False)) & ~C("turned") & (gx < 0)
-    dx_max = F.when(left, dx_max * 1.3).otherwise(dx_max)
+    p = p.withColumns({"dx": F.abs(F.when(turned, lx).otherwise(gx)), "dy": F.abs(F.when(turned, ly).otherwise(gy))})
+    # 0 within the base height, k for the first later step that reaches dy, NULL beyond
+    step = F.filter(F.transform("a_steps", lambda s, k: F.when(C("dy") <= C("a_base") * s, k + 1)), lambda k: k.isNotNull())
+    tier = F.when(C("dy") <= C("a_base"), 0).when(F.size("a_steps") > 0, F.get(step, F.lit(0)))
+    ok = G.in_direction(C("a_mode"), G.box("a_"), C("a_cx"), C("a_cy"), C("a_w"), C("a_h"), C("a_angle_raw"), G.box("b_"), C("b_cx"), C("b_cy"), C("a_oriented"))
+    dx_max = F.greatest(C("a_wide") * F.greatest("a_w", "b_w"), F.lit(30.0))
+    dx_max = F.when(C("a_left") & (gx < 0), dx_max * 1.3).otherwise(dx_max)
     shared = -F.greatest(F.lit(0.0), F.least("a_x2", "b_x2") - F.greatest("a_x1", "b_x1"))
-    flat = F.coalesce(rule(cls, "horizontal", False), F.lit(False))
+    flat = C("a_flat")
     return (
         p.withColumn("tier", tier).filter(C("tier").isNotNull() & ok & (C("dx") <= dx_max))
         .select(
             *KEYS, C("a_row_id").alias("row_id"), C("a_cls").alias("cls"), C("b_row_id").alias("coord_id"), "tier",
-            F.when(C("turned"), F.sqrt(C("dx") * C("dx") + C("dy") * C("dy"))).when(flat, C("dx")).otherwise(C("dy")).alias("s1"),
-            F.when(C("turned"), shared).when(flat, C("dy")).otherwise(C("dx")).alias("s2"),
-            F.when(C("turned"), 0.0).otherwise(shared).alias("s3"),
+            F.when(turned, F.sqrt(C("dx") * C("dx") + C("dy") * C("dy"))).when(flat, C("dx")).otherwise(C("dy")).alias("s1"),
+            F.when(turned, shared).when(flat, C("dy")).otherwise(C("dx")).alias("s2"),
+            F.when(turned, 0.0).otherwise(shared).alias("s3"),
             gx.alias("off_x"), gy.alias("off_y"),
         )
     )
@@ -200,7 +206,7 @@ def assign_coordinates(anchors: DataFrame, coords: DataFrame) -> DataFrame:
     owned = gks.unionByName(conn)
     texts = {"signal": "anchor_text", "coordinate": "coord_text"}
     stops = anchors.filter(cls == "haltepunkt")
-    triples = link_triples(stops, anchors.filter(cls == "signal").withColumn("txt", C(texts["signal"])), coords.withColumn("txt", C(texts["coordinate"])))
+    triples = cut(link_triples(stops, anchors.filter(cls == "signal").withColumn("txt", C(texts["signal"])), coords.withColumn("txt", C(texts["coordinate"]))))
     triple = tagged(triples.filter(C("coord_id").isNotNull()), "triple")
     alone = without(cands.filter(cls == "haltepunkt"), owned).join(triple.select(*KEYS, "row_id"), [*KEYS, "row_id"], "left_anti")
     soft = cut(triple.unionByName(tagged(best_link(alone), "soft")))
