@@ -1,12 +1,13 @@
 """Byte-passage dedup against brute force, and merging of transforms against counting."""
 
+import hashlib
 import random
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from plotweave.llm.suffixes import remove_repeats, repeats
+from plotweave.llm.suffixes import op4_suffix_array_dedup, remove_repeats, repeats
 from tests.llm.helpers import DOCS, documents, wordy
 
 
@@ -41,6 +42,27 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_query_takes_all_places_of_400_bytes_and_no_shorter_passage(spark, tmp_path):
+    rnd = random.Random(7)
+
+    def prose(n):
+        return "".join(rnd.choices("abcdefghij ", k=n))
+
+    long, short, common = prose(400), prose(399), prose(450)
+    rows = [(1, f"A{long}B{prose(90)}"), (2, f"{prose(80)}C{long}D"), (3, f"E{short}F"), (4, f"{prose(70)}G{short}H"), (5, prose(900))]
+    # more different surroundings than a group may have pieces
+    rows += [(i, f"{prose(150)}\n{common}\n{prose(150)}") for i in range(10, 310)]
+    documents(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r["doc_id"]: r for r in op4_suffix_array_dedup(spark, str(tmp_path)).collect()}
+    assert [found[i]["n_removed"] for i in range(1, 6)] == [400, 400, 0, 0, 0]
+    for i, n_bytes, n_removed, n_spans, kept in brute(rows, 400):
+        r = found.pop(i)
+        # n_bytes is the length of the input, not of what is left
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"]) == (n_bytes, n_removed, n_spans)
+        assert r["kept_sha256"] == hashlib.sha256(kept).hexdigest()
+    assert not found
+
+
 @pytest.mark.parametrize("length,chunk", [(12, 50), (7, 30), (30, 1), (80, 400)])
 def test_merged_chunks_find_what_counting_finds(length, chunk):
     rnd = random.Random(length)
