@@ -80,9 +80,11 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _ratios(counts: DataFrame, toxic: Column, plain: Column, name: str) -> tuple[DataFrame, DataFrame]:
-    """Log ratios of spellings (``g``) and, for unseen ones, of contexts (``x``)."""
+    """Log ratios of spellings (``g``) and, for unseen ones, of contexts (``x``). Counts of one spelling may be in several rows."""
     d = DISCOUNT
-    seen = counts.select("g", "x", "s", "c", toxic.alias("t"), plain.alias("o")).filter("t + o > 0")
+    # dealt by context, so that the sums, the contexts and their join share one shuffle
+    dealt = counts.select("g", "x", "s", "c", toxic.alias("t"), plain.alias("o")).filter("t + o > 0").repartition("x")
+    seen = dealt.groupBy("g", "x", "s", "c").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
     contexts = seen.groupBy("x").agg(
         F.sum("t").alias("tt"), F.sum("o").alias("to"), F.sum(F.signum("t")).alias("nt"), F.sum(F.signum("o")).alias("no")
     )
